@@ -301,3 +301,14 @@ def corr_report(corr: DataFrame, target: str) -> DataFrame:
                               .alias("multicollinear_details")))
             .crossJoin(sg.agg(F.count(F.lit(1)).alias("n_suggested_interactions")))
             .withColumn("target", F.lit(target)))
+
+
+def group_pairs_df(corr: DataFrame, left: DataFrame, right: DataFrame, min_abs: float = 0.3,
+                   n: int = 15) -> DataFrame:
+    """C15 with feature-level membership tables (``feature`` column) instead of lists."""
+    w = Window.orderBy(*_abs_desc(), "i", "j")
+    m = (corr.join(F.broadcast(left.select(F.col("feature").alias("f1"))), "f1")
+         .join(F.broadcast(right.select(F.col("feature").alias("f2"))), "f2")
+         .filter(F.abs("r") > min_abs))
+    return (m.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+            .select("rank", F.col("f1").alias("left"), F.col("f2").alias("right"), "r"))

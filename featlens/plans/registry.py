@@ -34,8 +34,16 @@ def register(name: str, sql: str | None = None, doubles=()):
     return deco
 
 
+def _round_half_away(x, digits: int):
+    """``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` with the same IEEE steps as the SQL side
+    (Spark's ``round`` rounds the shortest decimal string, DuckDB the scaled double)."""
+    scale = float(10 ** digits)
+    r = F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(x) < F.lit(1e12), r).otherwise(x) + F.lit(0.0)
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    fixes = {f.name: F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)
+    fixes = {f.name: _round_half_away(F.col(f.name).cast("double"), digits)
              for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
     return df.withColumns(fixes) if fixes else df
 
@@ -43,7 +51,11 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 def wrap_sql(sql: str, doubles, digits: int = 6) -> str:
     if not doubles:
         return sql
-    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"' for c in doubles)
+    scale = float(10 ** digits)
+    rep = ", ".join(
+        f'CASE WHEN abs(CAST("{c}" AS DOUBLE)) < 1e12 THEN sign(CAST("{c}" AS DOUBLE)) * '
+        f'floor(abs(CAST("{c}" AS DOUBLE)) * {scale!r} + 0.5) / {scale!r} ELSE CAST("{c}" AS DOUBLE) END + 0.0 AS "{c}"'
+        for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
