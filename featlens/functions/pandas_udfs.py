@@ -1,0 +1,15 @@
+"""Arrow-batched helpers for the few per-row computations with no JVM built-in.
+
+(No ``from __future__ import annotations`` here: Spark reads the pandas type hints.)
+"""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("double")
+def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
+    """Two-sided Student-t p-value per row (Student t CDF is not a Spark built-in)."""
+    from featlens.operators.model import t_sf
+    return pd.Series([t_sf(float(a), int(b)) if pd.notna(a) and pd.notna(b) else float("nan")
+                      for a, b in zip(t, dof)], dtype="float64")

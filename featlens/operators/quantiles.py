@@ -35,26 +35,27 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
         return agg.select(*g, F.explode(F.transform(
             "_v", lambda v, i: F.struct(F.element_at(qarr, i + 1).alias("q"), v.alias("value")))).alias("e")
         ).select(*g, "e.q", "e.value")
+    v = F.col(value_col)
     cells = ordered_cells(df, value_col, g).select(*g, F.col(value_col).alias("_v"), "cnt", "before")
-    tot = cells.groupBy(*g).agg(F.sum("cnt").alias("_n"))
+    tot = df.filter(v.isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     targets = (tot.crossJoin(F.broadcast(pdf))
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_pos"))
                .withColumn("_hi", F.ceil("_pos"))
                .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    # targets: one row per (group, q) -> bounded by groups x len(probs)
+    # targets: one row per (group, q) -> bounded by groups x len(probs); one non-equi join picks
+    # the cell(s) holding the two order statistics around each position.
     t = targets.alias("t")
     c = cells.alias("c")
-    cond_lo = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g] + [
-        F.col("c.before") <= F.col("t._lo"), F.col("t._lo") < F.col("c.before") + F.col("c.cnt")]
-    cond_hi = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g] + [
-        F.col("c.before") <= F.col("t._hi"), F.col("t._hi") < F.col("c.before") + F.col("c.cnt")]
-    lo = c.join(F.broadcast(t), cond_lo).select(*[F.col(f"t.{k}").alias(k) for k in g], F.col("t.q").alias("q"),
-                                                F.col("t._frac").alias("_frac"), F.col("c._v").alias("_lov"))
-    hi = c.join(F.broadcast(t), cond_hi).select(*[F.col(f"t.{k}").alias(k) for k in g], F.col("t.q").alias("q"),
-                                                F.col("c._v").alias("_hiv"))
-    return (lo.join(hi, g + ["q"])
-            .select(*g, "q", (F.col("_lov") + F.col("_frac") * (F.col("_hiv") - F.col("_lov"))).alias("value")))
+    lo_in = (F.col("c.before") <= F.col("t._lo")) & (F.col("t._lo") < F.col("c.before") + F.col("c.cnt"))
+    hi_in = (F.col("c.before") <= F.col("t._hi")) & (F.col("t._hi") < F.col("c.before") + F.col("c.cnt"))
+    cond = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g] + [lo_in | hi_in]
+    hits = c.join(F.broadcast(t), cond).select(
+        *[F.col(f"t.{k}").alias(k) for k in g], F.col("t.q").alias("q"), F.col("t._frac").alias("_frac"),
+        F.when(lo_in, F.col("c._v")).alias("_lov"), F.when(hi_in, F.col("c._v")).alias("_hiv"))
+    picked = hits.groupBy(*g, "q").agg(F.first("_frac").alias("_frac"), F.max("_lov").alias("_lov"),
+                                       F.max("_hiv").alias("_hiv"))
+    return picked.select(*g, "q", (F.col("_lov") + F.col("_frac") * (F.col("_hiv") - F.col("_lov"))).alias("value"))
 
 
 def quantile_long(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:

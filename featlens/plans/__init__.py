@@ -5,4 +5,5 @@ from featlens.plans.registry import REGISTRY, oracle_queries, spark_queries  # n
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from featlens.plans import assoc_queries, feature_queries, profile_queries  # noqa: F401
+    from featlens.plans import (assoc_queries, feature_queries, model_queries, profile_queries,  # noqa: F401
+                                rate_queries)
