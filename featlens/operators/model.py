@@ -310,6 +310,10 @@ def t_sf(t: float, dof: int) -> float:
     """Two-sided p-value of Student's t (regularised incomplete beta, Lentz continued fraction)."""
     if dof <= 0 or math.isnan(t):
         return float("nan")
+    if t == 0:
+        return 1.0
+    if math.isinf(t):
+        return 0.0
     x = dof / (dof + t * t)
     a, b = dof / 2.0, 0.5
 
