@@ -281,7 +281,7 @@ def train_and_evaluate(split: DataFrame, features: list[str], target: str, task:
     if scale:
         scaler = fit_scaler(train, features)
         data = scaler.transform(data)
-    vec = assemble(data, features)
+    vec = assemble(data, features).persist()         # reused by fit and both metric passes
     tr, te = vec.filter(~F.col("is_test")), vec.filter(F.col("is_test"))
     model = make_learner(task, model_type, **params).fit(tr)
     ptr, pte = model.transform(tr), model.transform(te)
