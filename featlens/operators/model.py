@@ -343,3 +343,34 @@ def t_sf(t: float, dof: int) -> float:
     else:
         ib = 1.0 - math.exp(lbeta) * betacf(b, a, 1 - x) / b
     return max(0.0, min(1.0, ib))
+
+
+def prepare_data(df: DataFrame, target: str, fit_on: str = "all"):
+    """Drop the target from the predictors, median-fill numeric predictors (fit on all
+    rows for parity; ``fit_on='train'`` expects an ``is_test`` column), keep numeric columns.
+    Returns (prepared DataFrame, describe table)."""
+    from featlens.operators.assoc import numeric_features
+    from featlens.operators.clean import fit_imputer
+    from featlens.operators.profile import describe
+    feats = numeric_features(df, target)
+    base = df.filter(~F.col("is_test")) if fit_on == "train" else df
+    imp = fit_imputer(base, "median", [c for c in feats])
+    extra = ["is_test"] if "is_test" in df.columns else []
+    prepared = imp.transform(df).select(*feats, target, *extra)
+    return prepared, describe(prepared, feats)
+
+
+def train_enhanced(split: DataFrame, baseline: list[str], derived: list[str], target: str, task: str,
+                   model_type: str = "auto", **params) -> TrainResult:
+    """The same learner on the original plus the derived columns present in the table."""
+    if model_type not in ("auto", "random_forest", "gradient_boosting", "logistic", "linear", "ridge",
+                          "lasso", "elastic_net"):
+        raise ValueError(f"unknown model type {model_type!r}")
+    have = set(split.columns)
+    feats = list(baseline) + [c for c in derived if c in have and c not in baseline]
+    return train_and_evaluate(split, feats, target, task, model_type, **params)
+
+
+def importance_first(importance: DataFrame, n: int = 10) -> DataFrame:
+    """Importances of the first ``n`` features (column order), ascending."""
+    return importance.filter(F.col("pos") < n).orderBy("importance", "pos")

@@ -27,12 +27,17 @@ def _key_cols(group_cols) -> list[str]:
 
 
 def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column | None = None,
-                  buckets: int = DEFAULT_BUCKETS, extra_sums: dict | None = None) -> DataFrame:
+                  buckets: int = DEFAULT_BUCKETS, extra_sums: dict | None = None,
+                  bounds: str = "group") -> DataFrame:
     """Per (group, value) cell: ``cnt`` (row or weight sum), ``before`` (sum of cnt over
     strictly smaller values in the group), ``dense_before`` (number of smaller distinct
     values), and for every ``extra_sums`` entry ``name`` the cell sum and ``name_before``.
 
     ``order_col`` must be numeric, date or timestamp; NULL values are dropped.
+
+    ``bounds="group"`` cuts each group's own range (few, large groups: columns, pairs,
+    classes); ``bounds="global"`` uses one set of cut points for all groups, for many
+    small groups (the offsets are then joined, not broadcast).
     """
     g = _key_cols(group_cols)
     extra_sums = extra_sums or {}
@@ -44,11 +49,15 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
         with_b = cells.withColumn("_b", F.lit(0))
     else:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = cells.groupBy(*g).agg(
-            F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds"))
-        # one row per group: the number of groups is bounded by the caller's schema (columns,
-        # column pairs, classes), never by the row count, so the broadcast has a size bound.
-        joined = cells.join(F.broadcast(bounds), g, "inner") if g else cells.crossJoin(F.broadcast(bounds))
+        if bounds == "global" or not g:
+            cuts = cells.agg(F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds"))
+            joined = cells.crossJoin(F.broadcast(cuts))            # one row
+        else:
+            cuts = cells.groupBy(*g).agg(
+                F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds"))
+            # one row per group: the number of groups is bounded by the caller's schema
+            # (columns, column pairs, classes), never by the row count.
+            joined = cells.join(F.broadcast(cuts), g, "inner")
         with_b = joined.withColumn(
             "_b", F.size(F.filter("_bounds", lambda x: x < F.col(order_col)))).drop("_bounds")
     sums = ["cnt"] + list(extra_sums)
@@ -57,7 +66,8 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}")
                                         for s in sums + ["distinct"]])
-    placed = with_b.join(F.broadcast(offsets), g + ["_b"], "inner")
+    # groups x buckets rows: broadcast for per-group bounds, a plain join for many groups
+    placed = with_b.join(offsets if bounds == "global" and g else F.broadcast(offsets), g + ["_b"], "inner")
     wv = Window.partitionBy(*g, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.select(
         *g, order_col, *sums,

@@ -156,3 +156,33 @@ def spearman_sql(cols: list[str]) -> str:
 @register("corr_spearman", sql=mart_cte() + spearman_sql(SPEARMAN_COLS), doubles=["r"])
 def corr_spearman(spark, sf_dir):
     return assoc.spearman_matrix(feature_mart(spark, sf_dir), SPEARMAN_COLS)
+
+
+KENDALL_COLS = ["qty", "size", "bal"]
+
+
+def kendall_sql(cols: list[str]) -> str:
+    """tau-b from (x, y, weight) cells with a cell self-join (exact; cells <= distinct pairs)."""
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            cells = (f"SELECT {q(a)} AS x, {q(b)} AS y, count(*) AS w FROM m "
+                     f"WHERE {q(a)} IS NOT NULL AND {q(b)} IS NOT NULL GROUP BY ALL")
+            parts.append(
+                f"SELECT {i} AS i, {j} AS j, '{a}' AS f1, '{b}' AS f2, "
+                "CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN (n0 - n1 - n2 + n3 - 2 * d) / "
+                "sqrt((n0 - n1) * (n0 - n2)) END::DOUBLE AS r, CAST(n AS BIGINT) AS n FROM ("
+                f"SELECT (SELECT sum(w) FROM ({cells})) AS n, "
+                f"(SELECT sum(w) * (sum(w) - 1) / 2 FROM ({cells})) AS n0, "
+                f"(SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT sum(w) AS t FROM ({cells}) GROUP BY x)) AS n1, "
+                f"(SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT sum(w) AS t FROM ({cells}) GROUP BY y)) AS n2, "
+                f"(SELECT coalesce(sum(w * (w - 1) / 2), 0) FROM ({cells})) AS n3, "
+                f"(SELECT coalesce(sum(c1.w * c2.w), 0) FROM ({cells}) c1 JOIN ({cells}) c2 "
+                "ON c1.x < c2.x AND c1.y > c2.y) AS d)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("corr_kendall", sql=mart_cte() + kendall_sql(KENDALL_COLS), doubles=["r"])
+def corr_kendall(spark, sf_dir):
+    from featlens.operators.kendall import kendall_matrix
+    return kendall_matrix(feature_mart(spark, sf_dir), KENDALL_COLS)
