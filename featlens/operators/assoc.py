@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from featlens.functions.scalar import is_numeric_type
-from featlens.operators.ranking import average_rank
-from featlens.session import ensure_checkpoint_dir
+from featlens.session import ensure_checkpoint_dir, materialize
 
 MOMENT_SCHEMA = StructType([
     StructField("i", IntegerType()), StructField("j", IntegerType()),
@@ -97,7 +96,7 @@ def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
-    part = x.mapInArrow(_moments_fn(len(cols)), MOMENT_SCHEMA).checkpoint(eager=True)
+    part = materialize(x.mapInArrow(_moments_fn(len(cols)), MOMENT_SCHEMA))
     means = part.groupBy("i", "j").agg(
         F.sum("n").alias("_tot"),
         (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
@@ -145,22 +144,33 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFrame:
     """Spearman = Pearson on average ranks, ranks taken on each pair's complete rows.
 
-    Each pair's complete rows are stacked into (k, x, y); ranks come from the bucketed
-    prefix-sum helper (no global window), then built-in stable moments per pair.
+    Each off-diagonal pair's complete rows are stacked into (k, x, y); both sides are ranked
+    as (value, count) cells with the bucketed prefix-sum helper (no global window, a hot
+    value is one cell) and joined back once per side; built-in stable co-moments per pair.
+    The diagonal is 1 (NULL for a constant column) and needs no ranks.
     """
+    from featlens.operators.ranking import ordered_cells
     p = len(cols)
-    pairs = [(a, b) for a in range(p) for b in range(a, p)]
-    ids = {k: (a, b) for k, (a, b) in enumerate(pairs)}
+    pairs = [(a, b) for a in range(p) for b in range(a + 1, p)]
     x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
+    diag = x.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(p)],
+                 *[(F.max(f"_x{k}") > F.min(f"_x{k}")).alias(f"_v{k}") for k in range(p)])
+    diag = diag.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("i"), F.lit(k).alias("j"),
+                 F.when(F.col(f"_v{k}") & (F.col(f"_n{k}") >= 2), F.lit(1.0)).alias("r"),
+                 F.col(f"_n{k}").alias("n")) for k in range(p)])).alias("e")).select("e.*")
+    if not pairs:
+        return _mirror(diag, cols)
     long = x.select(F.explode(F.array(*[
         F.when(F.col(f"_x{a}").isNotNull() & F.col(f"_x{b}").isNotNull(),
                F.struct(F.lit(k).alias("k"), F.col(f"_x{a}").alias("x"), F.col(f"_x{b}").alias("y")))
-        for k, (a, b) in ids.items()])).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
-    rx = average_rank(long.select("k", "x").withColumnRenamed("x", "v"), "v", ["k"], "rank", buckets)
-    ry = average_rank(long.select("k", "y").withColumnRenamed("y", "v"), "v", ["k"], "rank", buckets)
-    rx_cells = rx.select("k", F.col("v").alias("x"), F.col("rank").alias("rx")).distinct()
-    ry_cells = ry.select("k", F.col("v").alias("y"), F.col("rank").alias("ry")).distinct()
-    ranked = long.join(rx_cells, ["k", "x"]).join(ry_cells, ["k", "y"])
+        for k, (a, b) in enumerate(pairs)])).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
+
+    def ranks(side: str, out: str) -> DataFrame:
+        cells = ordered_cells(long.select("k", F.col(side).alias("_v")), "_v", ["k"], buckets=buckets)
+        return cells.select("k", F.col("_v").alias(side), (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out))
+
+    ranked = long.join(ranks("x", "rx"), ["k", "x"]).join(ranks("y", "ry"), ["k", "y"])
     per_pair = ranked.groupBy("k").agg(
         F.count(F.lit(1)).alias("n"),
         F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
@@ -168,7 +178,7 @@ def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFr
     kb = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("k") + 1)
     upper = per_pair.select(ka.alias("i"), kb.alias("j"),
                             F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))).alias("r"), "n")
-    return _mirror(upper, cols)
+    return _mirror(upper.unionByName(diag.select("i", "j", "r", F.col("n").cast("bigint").alias("n"))), cols)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:

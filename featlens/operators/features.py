@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from featlens.functions.scalar import is_numeric_type
 from featlens.operators.quantiles import quantile_long
+from featlens.session import materialize
 
 KINDS = ("multiply", "add", "divide", "subtract")
 
@@ -238,7 +239,8 @@ def kmeans_edges(df: DataFrame, feature: str, n_bins: int, lo: float, hi: float,
     """
     x = F.col(feature).cast("double")
     cells = (df.select(x.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-             .checkpoint(eager=True))
+             )
+    cells = materialize(cells)
     stats = cells.agg((F.sum(F.col("w") * F.col("v") * F.col("v")) / F.sum("w")
                        - F.pow(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 2)).alias("var")).first()
     eps = tol * max(stats["var"] or 0.0, 0.0)

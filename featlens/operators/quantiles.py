@@ -2,18 +2,21 @@
 
 ``percentile`` keeps a value->count map per group in one aggregation buffer, so a global
 exact percentile over a continuous column finishes in one task holding every distinct
-value. Here the values are ranked with the bucketed prefix-sum helper and each requested
-quantile picks the two cells that straddle its position ``q * (n - 1)``; the only
-non-equi join is against the (groups x probabilities) target table, which is tiny.
+value. Here values collapse to (value, count) cells, cells fall into quantile buckets
+(sketch cut points), bucket totals give each bucket's rank offset, and only the buckets
+that contain a requested order statistic (at most two per quantile) are sorted; the two
+cells straddling ``q * (n - 1)`` are interpolated. All joins against the bucket/target
+tables are against tables of groups x buckets rows.
 Set ``exact=False`` for ``percentile_approx`` instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlens.operators.ranking import ordered_cells
+from featlens.operators.ranking import CUT_ACCURACY, DEFAULT_BUCKETS, _lower_bound
+from featlens.session import ensure_checkpoint_dir, materialize
 
 
 def _groups(group_cols) -> list[str]:
@@ -23,7 +26,7 @@ def _groups(group_cols) -> list[str]:
 
 
 def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None,
-              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Long result ``(group..., q, value)``; NULL values are ignored; empty groups give no row."""
     g = _groups(group_cols)
     spark = df.sparkSession
@@ -36,17 +39,35 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
             "_v", lambda v, i: F.struct(F.element_at(qarr, i + 1).alias("q"), v.alias("value")))).alias("e")
         ).select(*g, "e.q", "e.value")
     v = F.col(value_col)
-    cells = ordered_cells(df, value_col, g).select(*g, F.col(value_col).alias("_v"), "cnt", "before")
-    tot = df.filter(v.isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    targets = (tot.crossJoin(F.broadcast(pdf))
+    ensure_checkpoint_dir(df.sparkSession)
+    present = df.filter(v.isNotNull())
+    probs_cut = [i / buckets for i in range(1, buckets)]
+    cuts = present.groupBy(*g).agg(F.percentile_approx(v, probs_cut, CUT_ACCURACY).alias("_cuts"))
+    cells = present.groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("cnt"))
+    # cuts: one row per group (groups = columns / classes): schema-bounded broadcast.
+    # The bucketed cells feed four branches; materialise them once (reliable checkpoint).
+    placed = (cells.join(F.broadcast(cuts), g) if g else cells.crossJoin(F.broadcast(cuts))) \
+        .withColumn("_b", _lower_bound(F.col("_v"), F.col("_cuts"), 0, buckets - 1)).drop("_cuts")
+    placed = materialize(placed)
+    totals = placed.groupBy(*g, "_b").agg(F.sum("cnt").alias("_t"))
+    wb = Window.partitionBy(*g).orderBy("_b")
+    offsets = totals.select(*g, "_b", "_t", (F.sum("_t").over(wb) - F.col("_t")).alias("_o"),
+                            F.sum("_t").over(Window.partitionBy(*g)).alias("_n"))
+    targets = (offsets.select(*g, "_n").distinct().crossJoin(F.broadcast(pdf))
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-               .withColumn("_lo", F.floor("_pos"))
-               .withColumn("_hi", F.ceil("_pos"))
+               .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
                .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    # targets: one row per (group, q) -> bounded by groups x len(probs); one non-equi join picks
-    # the cell(s) holding the two order statistics around each position.
-    t = targets.alias("t")
-    c = cells.alias("c")
+    # buckets holding a target order statistic: <= 2 per (group, q)
+    o, t = offsets.alias("o"), targets.alias("t")
+    inb = lambda k: (F.col("o._o") <= F.col(f"t.{k}")) & (F.col(f"t.{k}") < F.col("o._o") + F.col("o._t"))
+    hit = o.join(t, [F.col(f"o.{k}") == F.col(f"t.{k}") for k in g] + [inb("_lo") | inb("_hi")]) \
+        .select(*[F.col(f"o.{k}").alias(k) for k in g], F.col("o._b").alias("_b"), F.col("o._o").alias("_o")) \
+        .distinct()
+    # prefix sums only inside the hit buckets (a few of ``buckets`` per group)
+    sel = placed.join(F.broadcast(hit), g + ["_b"])
+    wv = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sel.select(*g, "_v", "cnt", (F.col("_o") + F.coalesce(F.sum("cnt").over(wv), F.lit(0))).alias("before"))
+    c = ranked.alias("c")
     lo_in = (F.col("c.before") <= F.col("t._lo")) & (F.col("t._lo") < F.col("c.before") + F.col("c.cnt"))
     hi_in = (F.col("c.before") <= F.col("t._hi")) & (F.col("t._hi") < F.col("c.before") + F.col("c.cnt"))
     cond = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g] + [lo_in | hi_in]

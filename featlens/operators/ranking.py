@@ -17,7 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlens.session import ensure_checkpoint_dir, materialize
+
 DEFAULT_BUCKETS = 64
+CUT_ACCURACY = 1000   # bucket cuts only balance work; rank error 1/1000 is plenty
+
+
+def _lower_bound(v: Column, bounds: Column, lo: int, hi: int) -> Column:
+    """Number of sorted ``bounds`` elements < v, as a balanced tree of CASE WHEN nodes:
+    log2(len) comparisons per row, all inside whole-stage codegen (a higher-order
+    ``filter`` lambda would be interpreted per element)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(bounds.getItem(mid) < v, _lower_bound(v, bounds, mid + 1, hi)) \
+        .otherwise(_lower_bound(v, bounds, lo, mid))
 
 
 def _key_cols(group_cols) -> list[str]:
@@ -50,16 +64,20 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
     else:
         probs = [i / buckets for i in range(1, buckets)]
         if bounds == "global" or not g:
-            cuts = cells.agg(F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds"))
+            cuts = cells.agg(F.percentile_approx(F.col(order_col), probs, CUT_ACCURACY).alias("_bounds"))
             joined = cells.crossJoin(F.broadcast(cuts))            # one row
         else:
             cuts = cells.groupBy(*g).agg(
-                F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds"))
+                F.percentile_approx(F.col(order_col), probs, CUT_ACCURACY).alias("_bounds"))
             # one row per group: the number of groups is bounded by the caller's schema
             # (columns, column pairs, classes), never by the row count.
             joined = cells.join(F.broadcast(cuts), g, "inner")
         with_b = joined.withColumn(
-            "_b", F.size(F.filter("_bounds", lambda x: x < F.col(order_col)))).drop("_bounds")
+            "_b", _lower_bound(F.col(order_col), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
+    # the bucketed cells feed the totals and the placement branches: materialise them once
+    # (reliable checkpoint in spark.checkpoint.dir) instead of re-deriving them per branch
+    ensure_checkpoint_dir(df.sparkSession)
+    with_b = materialize(with_b)
     sums = ["cnt"] + list(extra_sums)
     totals = with_b.groupBy(*g, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
                                           F.count(F.lit(1)).alias("_t_distinct"))

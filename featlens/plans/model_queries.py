@@ -236,14 +236,13 @@ def strength_bands(spark, sf_dir):
 # ---------------------------------------------------------------- MLlib (rows-only checks)
 
 def _split_mart(spark, sf_dir):
-    from featlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
+    from featlens.session import materialize
     m = feature_mart(spark, sf_dir, with_key=True)
     from featlens.operators.clean import impute
     filled = impute(m, "median", ["qty"])            # M7: fill before the split (reference parity)
     # the split table feeds several fits and metric passes: cut its lineage once (reliable
     # checkpoint in spark.checkpoint.dir) instead of recomputing join + split per pass
-    return T.exact_split(filled, "rk", 0.2, 42).checkpoint(eager=True)
+    return materialize(T.exact_split(filled, "rk", 0.2, 42))
 
 
 def _experiment_row(name, res, n_features):

@@ -54,3 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder (HDFS/S3/ABFS) for checkpoints")
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` as a parquet table under ``spark.checkpoint.dir`` (the
+    shared folder) and reading it back: survives executor loss, is columnar (faster than
+    ``Dataset.checkpoint``'s row serialisation), and lets several branches share one result."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/featlens-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
