@@ -35,11 +35,18 @@ def exact_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42)
     k = n.select(F.ceil(F.col("_n") * F.lit(test_size)).cast("bigint").alias("_k"))
     flag = cells.crossJoin(F.broadcast(k)).select("_h", "cnt", "before", "_k")
     tagged = h.join(flag, "_h")
-    # hash ties (practically never) are broken by key inside the tied cell
-    w = Window.partitionBy("_h").orderBy(key)
-    tie_rank = F.when(F.col("cnt") > 1, F.row_number().over(w)).otherwise(F.lit(1))
-    return (tagged.withColumn("is_test", (F.col("before") + tie_rank) <= F.col("_k"))
-            .drop("_h", "cnt", "before", "_k"))
+    return _flag_with_ties(tagged, key, "_k").drop("_k")
+
+
+def _flag_with_ties(tagged: DataFrame, key: str, quota: str, group=()) -> DataFrame:
+    """``is_test = before + position <= quota``. Rows alone in their hash cell (all but a
+    handful) need no ordering; only tied cells get a window (by key), so the table is never
+    re-shuffled just to break ties."""
+    single = tagged.filter(F.col("cnt") == 1).withColumn("is_test", F.col("before") + 1 <= F.col(quota))
+    w = Window.partitionBy(*group, "_h").orderBy(key)
+    tied = tagged.filter(F.col("cnt") > 1).withColumn(
+        "is_test", F.col("before") + F.row_number().over(w) <= F.col(quota))
+    return single.unionByName(tied).drop("_h", "cnt", "before")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -58,10 +65,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
         .select(label, "_quota")                     # one row per class (bounded)
     cells = ordered_cells(h, "_h", [label])
     tagged = h.join(cells.select(label, "_h", "cnt", "before"), [label, "_h"]).join(F.broadcast(quota), label)
-    w2 = Window.partitionBy(label, "_h").orderBy(key)
-    tie_rank = F.when(F.col("cnt") > 1, F.row_number().over(w2)).otherwise(F.lit(1))
-    return (tagged.withColumn("is_test", (F.col("before") + tie_rank) <= F.col("_quota"))
-            .drop("_h", "cnt", "before", "_quota"))
+    return _flag_with_ties(tagged, key, "_quota", [label]).drop("_quota")
 
 
 @dataclass(frozen=True)
