@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlens.session import ensure_checkpoint_dir, materialize
+from featlens.session import materialize
 
 DEFAULT_BUCKETS = 64
 CUT_ACCURACY = 1000   # bucket cuts only balance work; rank error 1/1000 is plenty
@@ -56,9 +56,11 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
     g = _key_cols(group_cols)
     extra_sums = extra_sums or {}
     w = F.lit(1).cast("bigint") if weight is None else weight
-    cells = (df.filter(F.col(order_col).isNotNull())
-             .groupBy(*g, order_col)
-             .agg(F.sum(w).alias("cnt"), *[F.sum(e).alias(k) for k, e in extra_sums.items()]))
+    # one scan of the input; the cells (parquet in the checkpoint folder) feed the cut
+    # points, the bucket totals and the placement branches
+    cells = materialize(df.filter(F.col(order_col).isNotNull())
+                        .groupBy(*g, order_col)
+                        .agg(F.sum(w).alias("cnt"), *[F.sum(e).alias(k) for k, e in extra_sums.items()]))
     if buckets <= 1:
         with_b = cells.withColumn("_b", F.lit(0))
     else:
@@ -74,10 +76,6 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
             joined = cells.join(F.broadcast(cuts), g, "inner")
         with_b = joined.withColumn(
             "_b", _lower_bound(F.col(order_col), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
-    # the bucketed cells feed the totals and the placement branches: materialise them once
-    # (reliable checkpoint in spark.checkpoint.dir) instead of re-deriving them per branch
-    ensure_checkpoint_dir(df.sparkSession)
-    with_b = materialize(with_b)
     sums = ["cnt"] + list(extra_sums)
     totals = with_b.groupBy(*g, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
                                           F.count(F.lit(1)).alias("_t_distinct"))
