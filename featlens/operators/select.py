@@ -83,7 +83,17 @@ def membership_tag(df: DataFrame, status: DataFrame, key: str = "feature") -> Da
         .withColumn("status", F.coalesce(F.col("status"), F.lit("other")))
 
 
+def members(df: DataFrame, ids: DataFrame, key: str = "feature") -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (left semi join)."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def non_members(df: DataFrame, ids: DataFrame, key: str = "feature") -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids`` (left anti join)."""
+    return df.join(ids.select(key).distinct(), key, "left_anti")
+
+
 def valuable_features(created: DataFrame, importance: DataFrame, n: int = 5) -> DataFrame:
     """Created features that are among the top importances, creation order, first n."""
-    return (created.join(importance.select("feature", "importance"), "feature", "inner")
-            .orderBy("k").limit(n))
+    top = importance.select("feature", "importance")
+    return created.join(top, "feature", "inner").orderBy("k").limit(n)

@@ -320,3 +320,18 @@ def grid_search(spark, sf_dir):
     rows = [(str(p), float(s)) for p, s in zip(
         [{k.name: v for k, v in pm.items()} for pm in cv.getEstimatorParamMaps()], cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, avg_r2 double")
+
+
+@register("valuable_features")
+def valuable_features(spark, sf_dir):
+    """Derived features (creation order) that rank among the forest's top importances."""
+    corr = mart_corr(spark, sf_dir)
+    pairs = assoc.suggest_pairs(corr, TARGET, 0.15, 0.80, 10).orderBy("rank").collect()   # <= 10 names
+    plist = [(r["feature1"], r["feature2"]) for r in pairs]
+    log = G.FeatureLog(original=list(MART_FEATURES))
+    split = G.create_interactions(_split_mart(spark, sf_dir), plist, "multiply", original=MART_FEATURES, log=log)
+    feats = list(MART_FEATURES) + log.created
+    res = T.train_and_evaluate(split, feats, TARGET, "regression", "auto")
+    imp = T.feature_importance(res.model, feats, 15, spark)
+    created = spark.createDataFrame([(k, f) for k, f in enumerate(log.created)], "k int, feature string")
+    return L.valuable_features(created, imp, 5)

@@ -96,3 +96,13 @@ def test_dtype_counts_and_task_type(spark):
     rows = spark.createDataFrame([(float(i % 20),) for i in range(100)], "t double")
     assert profile.task_type(rows, "t").first()["task_type"] == "classification"   # exactly 20 distinct
     assert profile.target_kind(rows, "t").first()["kind"] == "continuous"
+
+
+def test_members_and_derived_tag(spark):
+    from featlens.functions.scalar import is_derived
+    from featlens.operators import select as L
+    df = spark.createDataFrame([("a_X_b",), ("c",), ("d_POW2",)], "feature string")
+    ids = spark.createDataFrame([("c",)], "feature string")
+    assert [r["feature"] for r in L.members(df, ids).collect()] == ["c"]
+    assert sorted(r["feature"] for r in L.non_members(df, ids).collect()) == ["a_X_b", "d_POW2"]
+    assert [r["d"] for r in df.select(is_derived("feature").alias("d")).collect()] == [True, False, True]
