@@ -244,13 +244,17 @@ def make_learner(task: str, model_type: str = "auto", seed: int = 42, **params):
     reg = task == "regression"
     if model_type in ("auto", "random_forest"):
         depth = 10 if model_type == "auto" else 30
-        kw = dict(numTrees=100, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features")
+        # maxMemoryInMB / cacheNodeIds only change how many tree nodes each pass splits
+        # (fewer passes over the data), not the fitted trees
+        kw = dict(numTrees=100, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features",
+                  maxMemoryInMB=1024, cacheNodeIds=True)
         kw.update(params)
         if reg:
             return RandomForestRegressor(featureSubsetStrategy="all", **kw)
         return RandomForestClassifier(**kw)
     if model_type == "gradient_boosting":
-        kw = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, labelCol="label", featuresCol="features")
+        kw = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, labelCol="label", featuresCol="features",
+                  maxMemoryInMB=1024, cacheNodeIds=True)
         kw.update(params)
         return GBTRegressor(**kw) if reg else GBTClassifier(**kw)
     if model_type == "logistic":
