@@ -144,41 +144,63 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFrame:
     """Spearman = Pearson on average ranks, ranks taken on each pair's complete rows.
 
-    Each off-diagonal pair's complete rows are stacked into (k, x, y); both sides are ranked
-    as (value, count) cells with the bucketed prefix-sum helper (no global window, a hot
-    value is one cell) and joined back once per side; built-in stable co-moments per pair.
-    The diagonal is 1 (NULL for a constant column) and needs no ranks.
+    The rank of x within the rows where partner y is present only depends on y's null
+    mask, so ranks are computed once per (column, partner mask) "spec" - p specs when no
+    column has NULLs, at most p (1 + #nullable) otherwise - as (value, count) cells with the
+    bucketed prefix-sum helper (no global window; a hot value is one cell). Each spec's
+    lookup is joined onto the rows by value, and the Gram kernel correlates the rank
+    columns pairwise-complete; pair (a, b) reads corr(R[a|b], R[b|a]).
     """
     from featlens.operators.ranking import ordered_cells
     p = len(cols)
-    pairs = [(a, b) for a in range(p) for b in range(a + 1, p)]
     x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
+    nulls = x.agg(*[F.count(F.when(F.col(f"_x{k}").isNull(), 1)).alias(f"_n{k}") for k in range(p)]).first()
+    nullable = {k for k in range(p) if nulls[f"_n{k}"] > 0}          # p scalars
+    mask = {k: (k if k in nullable else None) for k in range(p)}
+    specs, spec_of = [], {}
+    for a in range(p):
+        for b in range(p):
+            if a == b:
+                continue
+            sp = (a, mask[b])
+            if sp not in spec_of:
+                spec_of[sp] = len(specs)
+                specs.append(sp)
+    if not specs:                                                   # a single column
+        return pearson_matrix(df, cols)
+
+    def present(k):
+        return F.col(f"_x{k}").isNotNull()
+
+    stacked = x.select(F.explode(F.array(*[
+        F.when(present(a) & (present(m) if m is not None else F.lit(True)),
+               F.struct(F.lit(s).alias("s"), F.col(f"_x{a}").alias("v")))
+        for s, (a, m) in enumerate(specs)])).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
+    lookup = ordered_cells(stacked, "v", ["s"], buckets=buckets).select(
+        "s", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    wide = x
+    for s, (a, m) in enumerate(specs):
+        lk = lookup.filter(F.col("s") == s).select(F.col("v").alias(f"_v{s}"), F.col("rank").alias(f"_r{s}"))
+        wide = wide.join(lk, F.col(f"_x{a}") == F.col(f"_v{s}"), "left").drop(f"_v{s}")
+        if m is not None:
+            wide = wide.withColumn(f"_r{s}", F.when(present(m), F.col(f"_r{s}")))
+    rcols = [f"_r{s}" for s in range(len(specs))]
+    rm = pair_moments(wide.select(rcols), rcols).select("i", "j", _r_from_moments().alias("r"), "n")
+    rows = []
+    for a in range(p):
+        for b in range(a + 1, p):
+            rows.append((spec_of[(a, mask[b])], spec_of[(b, mask[a])], a, b))
+    want = df.sparkSession.createDataFrame(rows, "si int, sj int, i int, j int")   # p^2 rows
+    sym = rm.select(F.col("i").alias("si"), F.col("j").alias("sj"), "r", "n").unionByName(
+        rm.select(F.col("j").alias("si"), F.col("i").alias("sj"), "r", "n"))
+    upper = want.join(sym, ["si", "sj"]).select("i", "j", "r", "n")
     diag = x.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(p)],
                  *[(F.max(f"_x{k}") > F.min(f"_x{k}")).alias(f"_v{k}") for k in range(p)])
     diag = diag.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("i"), F.lit(k).alias("j"),
                  F.when(F.col(f"_v{k}") & (F.col(f"_n{k}") >= 2), F.lit(1.0)).alias("r"),
-                 F.col(f"_n{k}").alias("n")) for k in range(p)])).alias("e")).select("e.*")
-    if not pairs:
-        return _mirror(diag, cols)
-    long = x.select(F.explode(F.array(*[
-        F.when(F.col(f"_x{a}").isNotNull() & F.col(f"_x{b}").isNotNull(),
-               F.struct(F.lit(k).alias("k"), F.col(f"_x{a}").alias("x"), F.col(f"_x{b}").alias("y")))
-        for k, (a, b) in enumerate(pairs)])).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
-
-    def ranks(side: str, out: str) -> DataFrame:
-        cells = ordered_cells(long.select("k", F.col(side).alias("_v")), "_v", ["k"], buckets=buckets)
-        return cells.select("k", F.col("_v").alias(side), (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out))
-
-    ranked = long.join(ranks("x", "rx"), ["k", "x"]).join(ranks("y", "ry"), ["k", "y"])
-    per_pair = ranked.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
-    ka = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("k") + 1)
-    kb = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("k") + 1)
-    upper = per_pair.select(ka.alias("i"), kb.alias("j"),
-                            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))).alias("r"), "n")
-    return _mirror(upper.unionByName(diag.select("i", "j", "r", F.col("n").cast("bigint").alias("n"))), cols)
+                 F.col(f"_n{k}").cast("bigint").alias("n")) for k in range(p)])).alias("e")).select("e.*")
+    return _mirror(upper.unionByName(diag), cols)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
