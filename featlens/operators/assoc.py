@@ -144,62 +144,73 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFrame:
     """Spearman = Pearson on average ranks, ranks taken on each pair's complete rows.
 
-    The rank of x within the rows where partner y is present only depends on y's null
-    mask, so ranks are computed once per (column, partner mask) "spec" - p specs when no
-    column has NULLs, at most p (1 + #nullable) otherwise - as (value, count) cells with the
-    bucketed prefix-sum helper (no global window; a hot value is one cell). Each spec's
-    lookup is joined onto the rows by value, and the Gram kernel correlates the rank
-    columns pairwise-complete; pair (a, b) reads corr(R[a|b], R[b|a]).
+    The rank of x_a within the rows where partner x_b is present only depends on b's null
+    mask, so one ranking per column carries, besides the plain count, a conditional count
+    for every nullable partner (``extra_sums``); p groups, not p^2.
+
+    Plan (two shuffles of the stacked p x N entries, independent of p^2):
+
+    1. the rows get a unique id once, in a table written to the checkpoint folder (the
+       row <-> id pairing is then fixed for every later task, retried or not);
+    2. rows are stacked to ``(rid, s, v, presence bits)``, and cells ``(s, v)`` get
+       distributed prefix-sum ranks (a hot value is one cell);
+    3. one equi-join on ``(s, v)`` puts the ranks on the entries (AQE splits a hot value's
+       partition), one ``groupBy(rid)`` with conditional aggregates rebuilds the rank
+       columns, and the Gram kernel correlates them pairwise-complete:
+       pair (a, b) reads corr(R[a|b], R[b|a]).
     """
     from featlens.operators.ranking import ordered_cells
     p = len(cols)
+    if p < 2:
+        return pearson_matrix(df, cols)
     x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
-    nulls = x.agg(*[F.count(F.when(F.col(f"_x{k}").isNull(), 1)).alias(f"_n{k}") for k in range(p)]).first()
-    nullable = {k for k in range(p) if nulls[f"_n{k}"] > 0}          # p scalars
-    mask = {k: (k if k in nullable else None) for k in range(p)}
+    fixed = materialize(x.withColumn("_rid", F.monotonically_increasing_id()))
+    stats = fixed.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(p)],
+                      *[(F.max(f"_x{k}") > F.min(f"_x{k}")).alias(f"_v{k}") for k in range(p)],
+                      F.count(F.lit(1)).alias("_rows")).first()          # 2p + 1 scalars
+    nullable = [k for k in range(p) if stats[f"_n{k}"] < stats["_rows"]]
+    bit = {m: (f"_pm{i // 62}", i % 62) for i, m in enumerate(nullable)}  # presence bits, 62 per word
+    words = sorted({w for w, _ in bit.values()})
+    present = {m: F.col(w).bitwiseAND(F.lit(1 << b)) != 0 for m, (w, b) in bit.items()}
+    mask = {k: (k if k in bit else None) for k in range(p)}
     specs, spec_of = [], {}
     for a in range(p):
         for b in range(p):
-            if a == b:
-                continue
             sp = (a, mask[b])
-            if sp not in spec_of:
+            if a != b and sp not in spec_of:
                 spec_of[sp] = len(specs)
                 specs.append(sp)
-    if not specs:                                                   # a single column
-        return pearson_matrix(df, cols)
 
-    def present(k):
-        return F.col(f"_x{k}").isNotNull()
-
-    stacked = x.select(F.explode(F.array(*[
-        F.when(present(a) & (present(m) if m is not None else F.lit(True)),
-               F.struct(F.lit(s).alias("s"), F.col(f"_x{a}").alias("v")))
-        for s, (a, m) in enumerate(specs)])).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
-    lookup = ordered_cells(stacked, "v", ["s"], buckets=buckets).select(
-        "s", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    wide = x
-    for s, (a, m) in enumerate(specs):
-        lk = lookup.filter(F.col("s") == s).select(F.col("v").alias(f"_v{s}"), F.col("rank").alias(f"_r{s}"))
-        wide = wide.join(lk, F.col(f"_x{a}") == F.col(f"_v{s}"), "left").drop(f"_v{s}")
-        if m is not None:
-            wide = wide.withColumn(f"_r{s}", F.when(present(m), F.col(f"_r{s}")))
+    word_exprs = []
+    for w in words:
+        e = F.lit(0).cast("bigint")
+        for m, (ww, b) in bit.items():
+            if ww == w:
+                e = e.bitwiseOR(F.when(F.col(f"_x{m}").isNotNull(), F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint"))
+        word_exprs.append(e.alias(w))
+    stacked = fixed.select("_rid", *word_exprs, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("s"), F.col(f"_x{k}").alias("v")) for k in range(p)])).alias("e")) \
+        .select("_rid", *words, "e.s", "e.v").filter(F.col("v").isNotNull())
+    cells = ordered_cells(stacked, "v", ["s"], buckets=buckets,
+                          extra_sums={f"_c{m}": F.when(present[m], 1).otherwise(0).cast("bigint") for m in nullable})
+    lookup = cells.select("s", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_rall"),
+                          *[(F.col(f"_c{m}_before") + (F.col(f"_c{m}") + 1) / 2.0).alias(f"_q{m}") for m in nullable])
+    ranked = stacked.join(lookup, ["s", "v"])
+
+    def rank_of(a, m):
+        return F.col("_rall") if m is None else F.when(present[m], F.col(f"_q{m}"))
+    wide = ranked.groupBy("_rid").agg(*[F.max(F.when(F.col("s") == a, rank_of(a, m))).alias(f"_r{si}")
+                                        for si, (a, m) in enumerate(specs)])
     rcols = [f"_r{s}" for s in range(len(specs))]
     rm = pair_moments(wide.select(rcols), rcols).select("i", "j", _r_from_moments().alias("r"), "n")
-    rows = []
-    for a in range(p):
-        for b in range(a + 1, p):
-            rows.append((spec_of[(a, mask[b])], spec_of[(b, mask[a])], a, b))
+    rows = [(spec_of[(a, mask[b])], spec_of[(b, mask[a])], a, b) for a in range(p) for b in range(a + 1, p)]
     want = df.sparkSession.createDataFrame(rows, "si int, sj int, i int, j int")   # p^2 rows
     sym = rm.select(F.col("i").alias("si"), F.col("j").alias("sj"), "r", "n").unionByName(
         rm.select(F.col("j").alias("si"), F.col("i").alias("sj"), "r", "n"))
     upper = want.join(sym, ["si", "sj"]).select("i", "j", "r", "n")
-    diag = x.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(p)],
-                 *[(F.max(f"_x{k}") > F.min(f"_x{k}")).alias(f"_v{k}") for k in range(p)])
-    diag = diag.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("i"), F.lit(k).alias("j"),
-                 F.when(F.col(f"_v{k}") & (F.col(f"_n{k}") >= 2), F.lit(1.0)).alias("r"),
-                 F.col(f"_n{k}").cast("bigint").alias("n")) for k in range(p)])).alias("e")).select("e.*")
+    diag = df.sparkSession.createDataFrame(
+        [(k, k, 1.0 if stats[f"_v{k}"] and stats[f"_n{k}"] >= 2 else None, int(stats[f"_n{k}"])) for k in range(p)],
+        "i int, j int, r double, n bigint")
     return _mirror(upper.unionByName(diag), cols)
 
 
