@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlens.operators.ranking import CUT_ACCURACY, DEFAULT_BUCKETS, _lower_bound
+from featlens.operators.ranking import DEFAULT_BUCKETS, bucketize
 from featlens.session import materialize
 
 
@@ -42,11 +42,7 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
     # one scan of the input: (value, count) cells, materialised as parquet in the checkpoint
     # folder; cut points and every later branch read that table, not the input
     cells = materialize(df.filter(v.isNotNull()).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("cnt")))
-    probs_cut = [i / buckets for i in range(1, buckets)]
-    cuts = cells.groupBy(*g).agg(F.percentile_approx("_v", probs_cut, CUT_ACCURACY).alias("_cuts"))
-    # cuts: one row per group (groups = columns / classes): schema-bounded broadcast
-    placed = (cells.join(F.broadcast(cuts), g) if g else cells.crossJoin(F.broadcast(cuts))) \
-        .withColumn("_b", _lower_bound(F.col("_v"), F.col("_cuts"), 0, buckets - 1)).drop("_cuts")
+    placed, _ = bucketize(cells, "_v", g, buckets)
     totals = placed.groupBy(*g, "_b").agg(F.sum("cnt").alias("_t"))
     wb = Window.partitionBy(*g).orderBy("_b")
     offsets = totals.select(*g, "_b", "_t", (F.sum("_t").over(wb) - F.col("_t")).alias("_o"),

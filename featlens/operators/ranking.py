@@ -21,6 +21,8 @@ from featlens.session import materialize
 
 DEFAULT_BUCKETS = 64
 CUT_ACCURACY = 1000   # bucket cuts only balance work; rank error 1/1000 is plenty
+# cells one (group, bucket) window task may sort; more cells -> another level of cuts
+CELLS_PER_BUCKET = 2_000_000
 
 
 def _lower_bound(v: Column, bounds: Column, lo: int, hi: int) -> Column:
@@ -34,6 +36,42 @@ def _lower_bound(v: Column, bounds: Column, lo: int, hi: int) -> Column:
         .otherwise(_lower_bound(v, bounds, lo, mid))
 
 
+def bucketize(cells: DataFrame, order_col: str, g: list[str], buckets: int = DEFAULT_BUCKETS,
+              per_group: bool = True) -> tuple[DataFrame, int]:
+    """Add ``_b`` to materialised ``cells``: a bucket id that orders with ``order_col``
+    (inside each group when ``per_group``), equal values always in one bucket.
+
+    Each level cuts every current bucket into ``buckets`` parts with ``percentile_approx``
+    cut points; levels are added until a bucket holds about ``CELLS_PER_BUCKET`` cells, so
+    the later per-bucket window never sorts an unbounded share of the cells in one task.
+    Returns the bucketed cells and the number of bucket ids per group.
+    """
+    if buckets <= 1:
+        return cells.withColumn("_b", F.lit(0)), 1
+    n = cells.count()                      # one scalar: cells are a written parquet table
+    levels = 1
+    while buckets ** levels * CELLS_PER_BUCKET < n:
+        levels += 1
+    probs = [i / buckets for i in range(1, buckets)]
+    acc = max(CUT_ACCURACY, 16 * buckets)
+    keys0 = list(g) if per_group else []
+    out = cells
+    for lv in range(levels):
+        keys = keys0 + (["_b"] if lv else [])
+        cuts = out.groupBy(*keys).agg(F.percentile_approx(F.col(order_col), probs, acc).alias("_cuts"))
+        if not keys:
+            joined = out.crossJoin(F.broadcast(cuts))                 # one row
+        elif lv == 0:
+            joined = out.join(F.broadcast(cuts), keys)               # one row per group (schema-bounded)
+        else:
+            joined = out.join(cuts, keys)      # groups x buckets^lv rows: Catalyst checks the size
+        lb = _lower_bound(F.col(order_col), F.col("_cuts"), 0, buckets - 1)
+        out = joined.withColumn("_b", lb if lv == 0 else F.col("_b") * buckets + lb).drop("_cuts")
+        if lv + 1 < levels:
+            out = materialize(out)
+    return out, buckets ** levels
+
+
 def _key_cols(group_cols) -> list[str]:
     if group_cols is None:
         return []
@@ -61,29 +99,17 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
     cells = materialize(df.filter(F.col(order_col).isNotNull())
                         .groupBy(*g, order_col)
                         .agg(F.sum(w).alias("cnt"), *[F.sum(e).alias(k) for k, e in extra_sums.items()]))
-    if buckets <= 1:
-        with_b = cells.withColumn("_b", F.lit(0))
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        if bounds == "global" or not g:
-            cuts = cells.agg(F.percentile_approx(F.col(order_col), probs, CUT_ACCURACY).alias("_bounds"))
-            joined = cells.crossJoin(F.broadcast(cuts))            # one row
-        else:
-            cuts = cells.groupBy(*g).agg(
-                F.percentile_approx(F.col(order_col), probs, CUT_ACCURACY).alias("_bounds"))
-            # one row per group: the number of groups is bounded by the caller's schema
-            # (columns, column pairs, classes), never by the row count.
-            joined = cells.join(F.broadcast(cuts), g, "inner")
-        with_b = joined.withColumn(
-            "_b", _lower_bound(F.col(order_col), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
+    with_b, nb = bucketize(cells, order_col, g, buckets, per_group=not (bounds == "global" and g))
     sums = ["cnt"] + list(extra_sums)
     totals = with_b.groupBy(*g, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
                                           F.count(F.lit(1)).alias("_t_distinct"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}")
                                         for s in sums + ["distinct"]])
-    # groups x buckets rows: broadcast for per-group bounds, a plain join for many groups
-    placed = with_b.join(offsets if bounds == "global" and g else F.broadcast(offsets), g + ["_b"], "inner")
+    # groups x buckets rows: broadcast for per-group bounds (few groups, one level of
+    # cuts), otherwise a plain join sized by Catalyst
+    small = not (bounds == "global" and g) and nb <= DEFAULT_BUCKETS ** 2
+    placed = with_b.join(F.broadcast(offsets) if small else offsets, g + ["_b"], "inner")
     wv = Window.partitionBy(*g, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.select(
         *g, order_col, *sums,

@@ -53,3 +53,19 @@ def test_exact_quantiles_match_numpy(spark):
     got = {r["q"]: r["value"] for r in quantiles(df, "v", probs).collect()}
     for q in probs:
         assert abs(got[q] - np.percentile(vals, q * 100)) < 1e-12
+
+
+def test_multilevel_buckets_match_numpy(spark, monkeypatch):
+    """Many cells per bucket -> extra levels of cuts; ranks and quantiles stay exact."""
+    import featlens.operators.ranking as R
+    monkeypatch.setattr(R, "CELLS_PER_BUCKET", 5)       # 4 buckets/level -> 3 levels for ~400 cells
+    rng = np.random.default_rng(3)
+    vals = list(rng.integers(0, 400, 1200).astype(float)) + [11.0] * 600
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, v double")
+    got = {r["id"]: r["rank"] for r in average_rank(df, "v", None, "rank", buckets=4).collect()}
+    exp = _avg_rank(vals)
+    assert all(abs(got[i] - exp[i]) < 1e-9 for i in range(len(vals)))
+    probs = [0.0, 0.33, 0.5, 0.9, 1.0]
+    qs = {r["q"]: r["value"] for r in quantiles(df, "v", probs, buckets=4).collect()}
+    for q in probs:
+        assert abs(qs[q] - np.percentile(vals, q * 100)) < 1e-12
