@@ -24,6 +24,33 @@ def test_kendall_matches_brute_force(spark):
     assert abs(row["tau"] - exp) < 1e-12
 
 
+def _tau_b(x, y):
+    dx, dy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    iu = np.triu_indices(len(x), 1)
+    s = (dx * dy)[iu]
+    n1 = (dx[iu] == 0).sum(); n2 = (dy[iu] == 0).sum(); n0 = len(s)
+    return s.sum() / np.sqrt((n0 - n1) * (n0 - n2))
+
+
+def test_kendall_matrix_pairwise_complete(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 15, 200).astype(float)
+    b = a - rng.integers(0, 6, 200)
+    c = rng.normal(size=200).round(1)
+    a[::9] = np.nan
+    c[::13] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(a, b, c)],
+                               "a double, b double, c double")
+    got = {(r["f1"], r["f2"]): (r["r"], r["n"]) for r in kendall.kendall_matrix(df, ["a", "b", "c"]).collect()}
+    cols = {"a": a, "b": b, "c": c}
+    for f1 in cols:
+        for f2 in cols:
+            ok = ~np.isnan(cols[f1]) & ~np.isnan(cols[f2])
+            r, n = got[(f1, f2)]
+            assert n == ok.sum()
+            assert abs(r - _tau_b(cols[f1][ok], cols[f2][ok])) < 1e-12
+
+
 def test_load_csv_types_and_na_tokens(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("a,b,c,target\n1,2.5,x,1\nNA,nan,y,2\n3,,NULL,3\n")
