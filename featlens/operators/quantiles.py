@@ -42,7 +42,9 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
     # one scan of the input: (value, count) cells, materialised as parquet in the checkpoint
     # folder; cut points and every later branch read that table, not the input
     cells = materialize(df.filter(v.isNotNull()).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("cnt")))
-    placed, _ = bucketize(cells, "_v", g, buckets)
+    placed, nb = bucketize(cells, "_v", g, buckets)
+    if nb == 1:
+        return _quantiles_one_bucket(placed, g, probs)
     totals = placed.groupBy(*g, "_b").agg(F.sum("cnt").alias("_t"))
     wb = Window.partitionBy(*g).orderBy("_b")
     offsets = totals.select(*g, "_b", "_t", (F.sum("_t").over(wb) - F.col("_t")).alias("_o"),
@@ -73,6 +75,26 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
     return picked.select(*g, "q", (F.col("_lov") + F.col("_frac") * (F.col("_hiv") - F.col("_lov"))).alias("value"))
 
 
+def _quantiles_one_bucket(cells: DataFrame, g: list[str], probs: list[float]) -> DataFrame:
+    """Every group's cells fit one window task: running counts over the cells, then the two
+    cells straddling ``q * (n - 1)`` per requested q."""
+    w = Window.partitionBy(*g).orderBy("_v")
+    ranked = cells.select(*g, "_v", "cnt",
+                          F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                     F.lit(0)).alias("before"),
+                          F.sum("cnt").over(Window.partitionBy(*g)).alias("_n"))
+    t = (ranked.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+         .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
+         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+         .withColumn("_frac", F.col("_pos") - F.col("_lo")))
+    lo_in = (F.col("before") <= F.col("_lo")) & (F.col("_lo") < F.col("before") + F.col("cnt"))
+    hi_in = (F.col("before") <= F.col("_hi")) & (F.col("_hi") < F.col("before") + F.col("cnt"))
+    picked = t.filter(lo_in | hi_in).groupBy(*g, "q").agg(
+        F.first("_frac").alias("_frac"), F.max(F.when(lo_in, F.col("_v"))).alias("_lov"),
+        F.max(F.when(hi_in, F.col("_v"))).alias("_hiv"))
+    return picked.select(*g, "q", (F.col("_lov") + F.col("_frac") * (F.col("_hiv") - F.col("_lov"))).alias("value"))
+
+
 def quantile_long(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:
     """Quantiles of several columns in one pipeline: ``(column, q, value)``."""
     long = df.select(F.explode(F.array(*[

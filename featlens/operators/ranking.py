@@ -44,11 +44,14 @@ def bucketize(cells: DataFrame, order_col: str, g: list[str], buckets: int = DEF
     Each level cuts every current bucket into ``buckets`` parts with ``percentile_approx``
     cut points; levels are added until a bucket holds about ``CELLS_PER_BUCKET`` cells, so
     the later per-bucket window never sorts an unbounded share of the cells in one task.
+    No level (one bucket per group) when all cells together are within that bound.
     Returns the bucketed cells and the number of bucket ids per group.
     """
     if buckets <= 1:
         return cells.withColumn("_b", F.lit(0)), 1
     n = cells.count()                      # one scalar: cells are a written parquet table
+    if n <= CELLS_PER_BUCKET:              # every group already fits one window task
+        return cells.withColumn("_b", F.lit(0)), 1
     levels = 1
     while buckets ** levels * CELLS_PER_BUCKET < n:
         levels += 1
@@ -101,6 +104,13 @@ def ordered_cells(df: DataFrame, order_col: str, group_cols=None, weight: Column
                         .agg(F.sum(w).alias("cnt"), *[F.sum(e).alias(k) for k, e in extra_sums.items()]))
     with_b, nb = bucketize(cells, order_col, g, buckets, per_group=not (bounds == "global" and g))
     sums = ["cnt"] + list(extra_sums)
+    if nb == 1:     # each group is one bounded window: running sums directly, no offsets
+        wv = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return with_b.select(
+            *g, order_col, *sums,
+            *[F.coalesce(F.sum(s).over(wv), F.lit(0)).alias("before" if s == "cnt" else f"{s}_before")
+              for s in sums],
+            F.coalesce(F.count(F.lit(1)).over(wv), F.lit(0)).alias("dense_before"))
     totals = with_b.groupBy(*g, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
                                           F.count(F.lit(1)).alias("_t_distinct"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
