@@ -44,14 +44,21 @@ def bucketize(cells: DataFrame, order_col: str, g: list[str], buckets: int = DEF
     Each level cuts every current bucket into ``buckets`` parts with ``percentile_approx``
     cut points; levels are added until a bucket holds about ``CELLS_PER_BUCKET`` cells, so
     the later per-bucket window never sorts an unbounded share of the cells in one task.
-    No level (one bucket per group) when all cells together are within that bound.
+    No level (one bucket per group) when the largest group's cells are within that bound.
     Returns the bucketed cells and the number of bucket ids per group.
     """
     if buckets <= 1:
         return cells.withColumn("_b", F.lit(0)), 1
-    n = cells.count()                      # one scalar: cells are a written parquet table
-    if n <= CELLS_PER_BUCKET:              # every group already fits one window task
+    # scalars from the written cells: the total, and only when that exceeds the bound the
+    # largest group's cell count (the window runs per group and bucket); with global cuts
+    # the levels follow the total count
+    total = cells.count()
+    largest = total
+    if total > CELLS_PER_BUCKET and g:
+        largest = cells.groupBy(*g).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    if largest <= CELLS_PER_BUCKET:        # every group already fits one window task
         return cells.withColumn("_b", F.lit(0)), 1
+    n = largest if per_group else total
     levels = 1
     while buckets ** levels * CELLS_PER_BUCKET < n:
         levels += 1

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from featlens.operators.quantiles import quantiles
@@ -69,3 +70,19 @@ def test_multilevel_buckets_match_numpy(spark, monkeypatch):
     qs = {r["q"]: r["value"] for r in quantiles(df, "v", probs, buckets=4).collect()}
     for q in probs:
         assert abs(qs[q] - np.percentile(vals, q * 100)) < 1e-12
+
+
+@pytest.mark.parametrize("bound", [60, 20])
+def test_grouped_ranks_one_bucket_or_levels(spark, monkeypatch, bound):
+    """Total cells over the bound: one bucket per group while each group fits (bound 60),
+    levels of cuts once a group does not (bound 20); ranks stay exact per group."""
+    import featlens.operators.ranking as R
+    monkeypatch.setattr(R, "CELLS_PER_BUCKET", bound)
+    rng = np.random.default_rng(5)
+    data = {g: list(rng.integers(0, 50, 400).astype(float)) + [3.0] * 200 for g in ("a", "b", "c")}
+    rows = [(g, i, float(v)) for g in data for i, v in enumerate(data[g])]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    got = {(r["g"], r["id"]): r["rank"] for r in average_rank(df, "v", "g", "rank", buckets=4).collect()}
+    for g, vals in data.items():
+        exp = _avg_rank(vals)
+        assert all(abs(got[(g, i)] - exp[i]) < 1e-9 for i in range(len(vals)))
