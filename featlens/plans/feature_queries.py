@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from featlens.operators import assoc, features as G, rates as A, select as L
 from featlens.operators.model import pair_study as _pair_study
 from featlens.plans.assoc_queries import TARGET_VEC_SQL, matrix_cte, mart_corr, mart_cte
-from featlens.plans.mart import MART_COLUMNS, TARGET, feature_mart
+from featlens.plans.mart import MART_COLUMNS, TARGET, feature_mart, mart_table
 from featlens.plans.registry import register
 
 PAIRS = [("bal", "price"), ("qty", "net"), ("size", "disc")]
@@ -78,7 +78,7 @@ def _bin_sql_quantile(cols: list[str], n: int) -> str:
           doubles=["price", "size", "bal", "price_BIN5", "size_BIN5", "bal_BIN5"])
 def bin_quantile(spark, sf_dir):
     # qty holds NULLs, so it is skipped
-    out = G.create_binned_features(feature_mart(spark, sf_dir), ["price", "size", "bal", "qty"], 5, "quantile")
+    out = G.create_binned_features(mart_table(spark, sf_dir), ["price", "size", "bal", "qty"], 5, "quantile")
     return out.select("price", "size", "bal", *[c for c in out.columns if c.endswith("_BIN5")])
 
 
@@ -101,7 +101,7 @@ def bin_uniform(spark, sf_dir):
 
 @register("bin_kmeans")
 def bin_kmeans(spark, sf_dir):
-    out = G.create_binned_features(feature_mart(spark, sf_dir), ["size", "price"], 4, "kmeans")
+    out = G.create_binned_features(mart_table(spark, sf_dir), ["size", "price"], 4, "kmeans")
     return out.select("size", "price", "size_BIN4", "price_BIN4")
 
 
@@ -143,7 +143,7 @@ def _qlabel_sql(c: str) -> str:
                            "avg(target) AS mean_value, count(*) AS n FROM m, q GROUP BY ALL",
           doubles=["mean_value"])
 def quartile_heatmap(spark, sf_dir):
-    m = feature_mart(spark, sf_dir)
+    m = mart_table(spark, sf_dir)
     b = G.quartile_labels(G.quartile_labels(m, "bal"), "size")
     return A.group_mean_grid(b, "bal_bin", "size_bin", TARGET)
 
