@@ -86,3 +86,19 @@ def test_grouped_ranks_one_bucket_or_levels(spark, monkeypatch, bound):
     for g, vals in data.items():
         exp = _avg_rank(vals)
         assert all(abs(got[(g, i)] - exp[i]) < 1e-9 for i in range(len(vals)))
+
+
+def test_bucket_levels_follow_cell_count(spark, monkeypatch):
+    """One bucket while the largest group fits; then 4, 16, 64 ... ids per group, just enough
+    that a bucket averages at most CELLS_PER_BUCKET cells; equal values share a bucket."""
+    import featlens.operators.ranking as R
+    from featlens.session import materialize
+    cells = materialize(spark.range(401).select(F.col("id").cast("double").alias("v"),
+                                                F.lit(1).cast("bigint").alias("cnt")))
+    for bound, want in [(500, 1), (200, 4), (30, 16), (5, 256)]:
+        monkeypatch.setattr(R, "CELLS_PER_BUCKET", bound)
+        out, nb = R.bucketize(cells, "v", [], buckets=4)
+        assert nb == want
+        got = out.orderBy("v").select("_b").collect()
+        ids = [r["_b"] for r in got]
+        assert ids == sorted(ids) and 0 <= ids[0] and ids[-1] < nb
