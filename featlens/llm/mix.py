@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, repeats: int = MOS
     behind = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     total = F.sum("source_size").over(W.partitionBy()).cast("double")
     src = src.select("*", ((total - before) / behind).alias("level"))
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(W.partitionBy())
+    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))
+    level = F.min(fits).over(W.partitionBy()).getField("level")
     return src.select("source", "source_size", "weight", "slope",
                       F.least("cap", level * F.col("weight")).alias("target"))
 
