@@ -109,5 +109,5 @@ x AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END A
 y AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - start)) AS BIGINT) AS taken FROM x),
 z AS (SELECT *, CAST(start AS DOUBLE) / words AS q FROM y)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN
-         round(CASE WHEN slope = 0 THEN q ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * q)) / (2 * slope) END, 9) END AS position FROM z""",
+         round(CASE WHEN slope = 0 THEN q ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * q)) / (2 * slope) END, 9) + 0.0 END AS position FROM z""",
 }
