@@ -59,7 +59,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mix.plan(table(spark, sf_dir, "documents"))
-    return d.orderBy("position").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    # what isn't taken has no position: dealt out behind the rest by its id, not left as one key
+    behind = 2 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    return d.orderBy(F.coalesce("position", behind)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
