@@ -112,7 +112,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], dims: int = 8, epochs:
     out = rng.normal(0, 0.5, (dims, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     sv, so, sb = np.full(BUCKETS, 1e-8, np.float32), np.full((dims, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    shares = [(y, i, (c / c.sum()).astype(np.float32)) for y, i, c in bags if len(i)]
+    shares = [(y, i, (c / c.sum(dtype=np.float64)).astype(np.float32)) for y, i, c in bags if len(i)]
     order = rng.permutation(len(shares))
     shares, aside = [shares[k] for k in order[len(order) // 4:]], [shares[k] for k in order[:len(order) // 4]]
     for _ in range(epochs):
@@ -143,7 +143,8 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], dims: int = 8, epochs:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     sample = labelled_sample(docs, labels, "quality", MODULUS, HELD, per_class)
     rows = sample.orderBy("doc_id").mapInArrow(_bags, "y int, ids binary, counts binary").collect()
-    bags = [(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u2").astype(np.float32)) for r in rows]
+    bags = [(r.y, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u2")) for r in rows]
+    del rows
     got = [sum(b[0] == y for b in bags) for y in (0, 1)]
     if 0 in got:
         return QualityModel(np.zeros(BUCKETS, np.float32), 0.0 if not any(got) else 10.0 if got[1] else -10.0)
