@@ -40,9 +40,14 @@ def is_numeric_type(dtype) -> bool:
     return isinstance(dtype, NumericType) and not isinstance(dtype, BooleanType)
 
 
+#: What counts as a number in text; a plain cast would also take Java's suffixes and hexadecimals.
+NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
 def coerce_numeric(c: str | Column) -> Column:
     """``to_numeric(errors='coerce')`` — bad values become NULL instead of raising."""
-    return F.trim(_c(c).cast("string")).try_cast("double")
+    text = F.trim(_c(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def rate(num: str | Column, den: str | Column, scale: float = 100.0) -> Column:

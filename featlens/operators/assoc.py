@@ -117,7 +117,8 @@ def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
 def _r_from_moments() -> Column:
     const = (F.col("lox") == F.col("hix")) | (F.col("loy") == F.col("hiy"))
     r = F.try_divide(F.col("cxy"), F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy")))
-    return F.when(const | (F.col("n") < 2), F.lit(None).cast("double")).otherwise(
+    wild = F.isnan(r) | F.isnan("cxx") | F.isnan("cyy") | (F.abs("cxx") == F.lit(float("inf"))) | (F.abs("cyy") == F.lit(float("inf")))
+    return F.when(const | (F.col("n") < 2) | wild, F.lit(None).cast("double")).otherwise(
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
@@ -159,11 +160,12 @@ def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFr
        columns, and the Gram kernel correlates them pairwise-complete:
        pair (a, b) reads corr(R[a|b], R[b|a]).
     """
+    from featlens.functions.scalar import normalise_nans
     from featlens.operators.ranking import ordered_cells
     p = len(cols)
     if p < 2:
         return pearson_matrix(df, cols)
-    x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
+    x = normalise_nans(df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)]))
     fixed = materialize(x.withColumn("_rid", F.monotonically_increasing_id()))
     stats = fixed.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(p)],
                       *[(F.max(f"_x{k}") > F.min(f"_x{k}")).alias(f"_v{k}") for k in range(p)],

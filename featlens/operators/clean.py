@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from featlens.functions.scalar import is_missing, is_numeric_type
 from featlens.operators.profile import missing_counts
 from featlens.operators.quantiles import median_map
+from featlens.session import materialize
 
 STRATEGIES = ("mean", "median", "mode", "drop")
 
@@ -135,18 +136,14 @@ class OneHotModel:
         return df.select(*keep, *dummies)
 
 
-def fit_onehot(df: DataFrame, columns: list[str] | None = None, max_levels: int = 1000,
-               as_bool: bool = False) -> OneHotModel:
-    """E1 fit: sorted distinct non-null levels per column; the output schema depends on them,
-    so they are collected, behind a cardinality guard."""
+def fit_onehot(df: DataFrame, columns: list[str] | None = None, as_bool: bool = False) -> OneHotModel:
+    """E1 fit: sorted distinct non-null levels per column. Every level becomes an output column,
+    so the levels are collected as part of the schema; there is no limit on their number."""
     cols = categorical_columns(df) if columns is None else list(columns)
     levels = {}
     for c in cols:
         lv = df.select(F.col(c).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-        got = lv.limit(max_levels + 1).collect()
-        if len(got) > max_levels:
-            raise ValueError(f"column {c!r} has more than {max_levels} levels")
-        levels[c] = sorted(r["v"] for r in got)
+        levels[c] = sorted(r["v"] for r in lv.collect())
     return OneHotModel(levels, as_bool)
 
 
@@ -164,23 +161,31 @@ class LabelModel:
         for c, table in self.codes.items():
             key = F.coalesce(F.col(c).cast("string"), F.lit(self.null_token))
             lk = table.select(F.col("level").alias(f"_lv_{c}"), F.col("code").alias(f"_code_{c}"))
-            # level tables are bounded by the fit's cardinality guard
-            out = (out.join(F.broadcast(lk), key == F.col(f"_lv_{c}"), "left")
+            # no hint: Catalyst broadcasts a small level table and sort-merges a large one
+            out = (out.join(lk, key == F.col(f"_lv_{c}"), "left")
                    .withColumn(c, F.col(f"_code_{c}")).drop(f"_lv_{c}", f"_code_{c}"))
         return out.select(df.columns)
 
 
-def fit_label(df: DataFrame, columns: list[str] | None = None, null_token: str = "nan",
-              max_levels: int = 100000) -> LabelModel:
+def _numbered_levels(levels: DataFrame) -> DataFrame:
+    """``(level, code)``: 0-based positions in sorted order, any number of levels. The levels are
+    range-partitioned, numbered inside each partition and shifted by the partitions before it."""
+    parts = materialize(levels.repartitionByRange("level").withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)     # one row per partition
+    sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("level")) - 1
+    numbered = parts.withColumn("_i", inside).join(sizes, F.col("_p") == F.col("_q"))
+    return numbered.select("level", (F.col("_o") + F.col("_i")).cast("bigint").alias("code"))
+
+
+def fit_label(df: DataFrame, columns: list[str] | None = None, null_token: str = "nan") -> LabelModel:
     """E2 fit: levels of ``cast(c as string)`` (NULL -> ``null_token``), sorted, 0-based codes."""
     cols = categorical_columns(df) if columns is None else list(columns)
     codes = {}
     for c in cols:
         lv = df.select(F.coalesce(F.col(c).cast("string"), F.lit(null_token)).alias("level")).distinct()
-        n = lv.count()
-        if n > max_levels:
-            raise ValueError(f"column {c!r} has {n} levels (> {max_levels})")
-        codes[c] = lv.select("level", (F.row_number().over(Window.orderBy("level")) - 1).cast("bigint").alias("code"))
+        codes[c] = _numbered_levels(lv)
     return LabelModel(codes, null_token)
 
 

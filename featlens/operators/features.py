@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featlens.functions.scalar import is_numeric_type
+from featlens.functions.scalar import is_numeric_type, nan_to_null
 from featlens.operators.quantiles import quantile_long
 from featlens.session import materialize
 
@@ -58,7 +58,7 @@ def create_interactions(df: DataFrame, pairs: list[tuple[str, str]], kind: str =
             continue
         for k in kinds:
             name = interaction_names(a, b, k)
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = nan_to_null(F.col(a).cast("double")), nan_to_null(F.col(b).cast("double"))
             if k == "multiply":
                 new[name] = x * y
             elif k == "add":
@@ -291,7 +291,7 @@ def remove_low_variance(df: DataFrame, target: str | None, threshold: float = 0.
     feats = [f.name for f in df.schema.fields if is_numeric_type(f.dataType) and f.name != target]
     if not feats:
         return df
-    row = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f"_v{k}") for k, f in enumerate(feats)]).first()
+    row = df.agg(*[F.var_pop(nan_to_null(F.col(f).cast("double"))).alias(f"_v{k}") for k, f in enumerate(feats)]).first()
     keep = [f for k, f in enumerate(feats) if row[f"_v{k}"] is not None and row[f"_v{k}"] > threshold]
     if not keep:
         return df

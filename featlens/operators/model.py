@@ -22,8 +22,9 @@ from featlens.operators.ranking import average_rank, ordered_cells
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
-    """md5(key#seed) -> 60-bit integer; orders exactly like the hex digest prefix."""
-    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}"))), 1, 15), 16, 10) \
+    """md5(key#seed) -> 60-bit integer; orders exactly like the hex digest prefix. A NULL key counts as empty."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(text, F.lit(f"#{seed}"))), 1, 15), 16, 10) \
         .cast("bigint")
 
 
@@ -52,20 +53,21 @@ def _flag_with_ties(tagged: DataFrame, key: str, quota: str, group=()) -> DataFr
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Per-class test quota by largest remainder (ties by class), then the smallest
     hashes within each class; class groups are ranked with bucketed prefix sums."""
-    h = df.withColumn("_h", split_hash(F.col(key), seed))
-    counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    # a NULL label is a class of its own: classes are joined by a text that NULL has too
+    h = df.withColumn("_h", split_hash(F.col(key), seed)).withColumn("_class", F.to_json(F.struct(F.col(label))))
+    counts = h.groupBy("_class", label).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"))
     c = counts.crossJoin(F.broadcast(tot)).withColumn(
         "_k", F.ceil(F.col("_n") * F.lit(test_size))).withColumn(
-        "_exact", F.col("_nc") * F.col("_k") / F.col("_n")).withColumn("_base", F.floor("_exact"))
+        "_exact", F.col("_nc").cast("double") * F.col("_k").cast("double") / F.col("_n").cast("double")).withColumn("_base", F.floor("_exact"))
     w = Window.orderBy((F.col("_exact") - F.col("_base")).desc(), F.col(label))
     left = F.col("_k") - F.sum("_base").over(Window.partitionBy())
     quota = c.withColumn("_r", F.row_number().over(w)).withColumn(
         "_quota", (F.col("_base") + F.when(F.col("_r") <= left, 1).otherwise(0)).cast("bigint")) \
-        .select(label, "_quota")                     # one row per class (bounded)
-    cells = ordered_cells(h, "_h", [label])
-    tagged = h.join(cells.select(label, "_h", "cnt", "before"), [label, "_h"]).join(F.broadcast(quota), label)
-    return _flag_with_ties(tagged, key, "_quota", [label]).drop("_quota")
+        .select("_class", "_quota")                  # one row per class: broadcast if Catalyst finds it small
+    cells = ordered_cells(h, "_h", ["_class"])
+    tagged = h.join(cells.select("_class", "_h", "cnt", "before"), ["_class", "_h"]).join(quota, "_class")
+    return _flag_with_ties(tagged, key, "_quota", ["_class"]).drop("_quota", "_class")
 
 
 @dataclass(frozen=True)
@@ -129,15 +131,17 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """AUC by Mann-Whitney on average score ranks; NULL unless exactly two classes
-    (the larger label is positive)."""
+    (the larger label is positive). Rows without a score or label play no part; counts are doubles,
+    so that their products cannot overflow."""
+    pred = pred.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     lab = pred.agg(F.count_distinct(F.col(label)).alias("_nc"), F.max(F.col(label)).alias("_pos"))
     ranked = average_rank(pred.select(F.col(label).alias("_y"), F.col(score).cast("double").alias("_s")),
                           "_s", None, "_rank")
     j = ranked.crossJoin(F.broadcast(lab))
     s = j.agg(F.first("_nc").alias("_nc"),
               F.sum(F.when(F.col("_y") == F.col("_pos"), F.col("_rank"))).alias("_rs"),
-              F.count(F.when(F.col("_y") == F.col("_pos"), 1)).alias("_n1"),
-              F.count(F.when(F.col("_y") != F.col("_pos"), 1)).alias("_n0"))
+              F.count(F.when(F.col("_y") == F.col("_pos"), 1)).cast("double").alias("_n1"),
+              F.count(F.when(F.col("_y") != F.col("_pos"), 1)).cast("double").alias("_n0"))
     auc = F.try_divide(F.col("_rs") - F.col("_n1") * (F.col("_n1") + 1) / 2.0, F.col("_n1") * F.col("_n0"))
     return s.select(F.when(F.col("_nc") == 2, auc).alias("roc_auc"))
 

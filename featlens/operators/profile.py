@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType,
                                LongType, ShortType, StringType, TimestampType)
 
-from featlens.functions.scalar import is_missing, is_numeric_type
+from featlens.functions.scalar import is_missing, is_numeric_type, nan_to_null
 from featlens.operators.quantiles import quantile_long
 
 # Pandas dtype names for the Spark types we load.
@@ -82,7 +82,7 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
 def describe(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """Count, mean, std, min, 25/50/75 % (linear), max per column."""
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(k).alias("pos"), F.col(c).cast("double").alias("v"))
+        F.struct(F.lit(c).alias("column"), F.lit(k).alias("pos"), nan_to_null(F.col(c).cast("double")).alias("v"))
         for k, c in enumerate(cols)])).alias("e")).select("e.*")
     base = stacked.groupBy("column", "pos").agg(
         F.count("v").cast("bigint").alias("count"), F.avg("v").alias("mean"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlens.functions.scalar import normalise_nans
 from featlens.operators.ranking import DEFAULT_BUCKETS, bucketize
 from featlens.session import materialize
 
@@ -38,6 +39,8 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
         return agg.select(*g, F.explode(F.transform(
             "_v", lambda v, i: F.struct(F.element_at(qarr, i + 1).alias("q"), v.alias("value")))).alias("e")
         ).select(*g, "e.q", "e.value")
+    # NaN is missing, as NULL is
+    df = normalise_nans(df)
     v = F.col(value_col)
     # one scan of the input: (value, count) cells, materialised as parquet in the checkpoint
     # folder; cut points and every later branch read that table, not the input
