@@ -241,9 +241,14 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
-def make_learner(task: str, model_type: str = "auto", seed: int = 42, **params):
-    """The reference's learner families on MLlib."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+def make_learner(task: str, model_type: str = "auto", seed: int = 42, classes: int = 2, rows: int | None = None, **params):
+    """The reference's learner families on MLlib.
+
+    Boosting takes one model per class if there are more than two ``classes``. Logistic regression
+    has an L2 penalty of one over the number of training ``rows`` (the inverse strength 1 of a summed
+    loss, as MLlib averages it) unless ``regParam`` is given.
+    """
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     reg = task == "regression"
     if model_type in ("auto", "random_forest"):
@@ -260,12 +265,15 @@ def make_learner(task: str, model_type: str = "auto", seed: int = 42, **params):
         kw = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, labelCol="label", featuresCol="features",
                   maxMemoryInMB=1024, cacheNodeIds=True)
         kw.update(params)
-        return GBTRegressor(**kw) if reg else GBTClassifier(**kw)
+        if reg:
+            return GBTRegressor(**kw)
+        one = GBTClassifier(**kw)
+        return one if classes <= 2 else OneVsRest(classifier=one, labelCol="label", featuresCol="features")
     if model_type == "logistic":
         if reg:
             raise ValueError("logistic regression needs a classification task")
         kw = dict(maxIter=1000, elasticNetParam=0.0, standardization=False, labelCol="label",
-                  featuresCol="features")
+                  featuresCol="features", regParam=1.0 / rows if rows else 0.0)
         kw.update(params)
         return LogisticRegression(**kw)
     if model_type in ("linear", "ridge", "lasso", "elastic_net"):
@@ -283,22 +291,57 @@ class TrainResult:
     train_metrics: DataFrame
     test_metrics: DataFrame
     test_predictions: DataFrame
+    name: str = "auto"
+    #: The classes by label number (classification only).
+    classes: tuple = ()
+    data: DataFrame | None = None
+
+    def record(self) -> DataFrame:
+        """One row: model_name, n_features, train_* and test_* for every metric."""
+        sides = [m.select([F.col(c).alias(f"{side}_{c}") for c in m.columns])
+                 for side, m in (("train", self.train_metrics), ("test", self.test_metrics))]
+        return sides[0].crossJoin(sides[1]).select(F.lit(self.name).alias("model_name"),
+                                                   F.lit(len(self.features)).cast("bigint").alias("n_features"), "*")
+
+    def release(self) -> None:
+        """Gives up the cached training table; metrics asked for later are computed anew."""
+        if self.data is not None:
+            self.data.unpersist()
+
+
+def _scored_metrics(pred: DataFrame, classes: int) -> DataFrame:
+    """The classifier's metrics and, for two classes, the AUC of the larger class's score."""
+    from pyspark.ml.functions import vector_to_array
+    m = classification_metrics(pred)
+    if classes != 2 or "probability" not in pred.columns:
+        return m.withColumn("roc_auc", F.lit(None).cast("double"))
+    return m.crossJoin(roc_auc(pred.select("label", vector_to_array("probability")[1].alias("score"))))
 
 
 def train_and_evaluate(split: DataFrame, features: list[str], target: str, task: str,
                        model_type: str = "auto", scale: bool = True, **params) -> TrainResult:
-    """Scale on train, fit, score train and test (same split reused by callers)."""
-    data = split.select(*features, F.col(target).cast("double").alias("label"), "is_test")
+    """Scale on train, fit, score train and test (same split reused by callers).
+
+    Classes of any type are numbered in ascending order (one model output each, so the class list is small).
+    """
+    classes = ()
+    label = F.col(target).cast("double")
+    if task != "regression":
+        classes = tuple(r[0] for r in split.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).collect())
+        kind = split.schema[target].dataType
+        label = (F.array_position(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col(target)) - 1).cast("double")
+    data = split.select(*features, label.alias("label"), "is_test")
     train = data.filter(~F.col("is_test"))
     if scale:
         scaler = fit_scaler(train, features)
         data = scaler.transform(data)
     vec = assemble(data, features).persist()         # reused by fit and both metric passes
     tr, te = vec.filter(~F.col("is_test")), vec.filter(F.col("is_test"))
-    model = make_learner(task, model_type, **params).fit(tr)
+    rows = tr.count() if model_type == "logistic" and "regParam" not in params else None
+    model = make_learner(task, model_type, classes=len(classes), rows=rows, **params).fit(tr)
     ptr, pte = model.transform(tr), model.transform(te)
-    metric = regression_metrics if task == "regression" else classification_metrics
-    return TrainResult(model, list(features), metric(ptr), metric(pte), pte)
+    metric = regression_metrics if task == "regression" else lambda p: _scored_metrics(p, len(classes))
+    return TrainResult(model, list(features), metric(ptr), metric(pte), pte, model_type, classes, vec)
 
 
 def feature_importance(model, features: list[str], top: int | None = 15, spark=None) -> DataFrame:
@@ -383,6 +426,39 @@ def train_enhanced(split: DataFrame, baseline: list[str], derived: list[str], ta
     return train_and_evaluate(split, feats, target, task, model_type, **params)
 
 
+@dataclass
+class Workflow:
+    baseline: TrainResult
+    enhanced: TrainResult
+    comparison: DataFrame
+    described: DataFrame
+
+
+def baseline_and_enhanced(df: DataFrame, key: str, target: str, task: str, pairs: list[tuple[str, str]],
+                          operation: str = "multiply", model_type: str = "auto", test_size: float = 0.2,
+                          seed: int = 42, save_to: str | None = None, **params) -> Workflow:
+    """The whole run: one exact split (by class for classification), prepared predictors, a baseline model,
+    the same learner with a derived column for each pair of features, and the comparison of the two on the
+    same test rows. ``key`` only names the rows and is no predictor. With ``save_to`` both models are saved.
+    """
+    from featlens.operators.features import create_interactions
+    from featlens.session import materialize
+    from featlens.sources.sinks import save_models
+    cut = (exact_split(df, key, test_size, seed) if task == "regression"
+           else stratified_split(df, key, target, test_size, seed))
+    prepared, described = prepare_data(cut.drop(key), target)
+    prepared = materialize(prepared)     # read by both models
+    original = [c for c in prepared.columns if c not in (target, "is_test")]
+    wide = create_interactions(prepared, pairs, operation, original=original)
+    derived = [c for c in wide.columns if c not in prepared.columns]
+    baseline = train_and_evaluate(prepared, original, target, task, model_type, **params)
+    enhanced = train_enhanced(wide, original, derived, target, task, model_type, **params)
+    if save_to is not None:
+        save_models({"baseline": baseline.model, "enhanced": enhanced.model},
+                    {name: f"{save_to}/{name}" for name in ("baseline", "enhanced")})
+    return Workflow(baseline, enhanced, compare_models(baseline.test_metrics, enhanced.test_metrics), described)
+
+
 def importance_first(importance: DataFrame, n: int = 10) -> DataFrame:
     """Importances of the first ``n`` features (column order), ascending."""
     return importance.filter(F.col("pos") < n).orderBy("importance", "pos")

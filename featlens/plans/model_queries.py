@@ -307,6 +307,17 @@ def reintroduction_experiment(spark, sf_dir):
         .drop("_b")
 
 
+@register("workflow")
+def workflow(spark, sf_dir):
+    """Baseline against enhanced as one run, on the suggested pairs: both records side by side with the verdict."""
+    corr = mart_corr(spark, sf_dir)
+    pairs = [(r["feature1"], r["feature2"])
+             for r in assoc.suggest_pairs(corr, TARGET, 0.15, 0.80, 5).orderBy("rank").collect()]   # <= 5 names
+    run = T.baseline_and_enhanced(feature_mart(spark, sf_dir, with_key=True), "rk", TARGET, "regression", pairs,
+                                  model_type="ridge", regParam=1e-3)
+    return run.comparison
+
+
 @register("pca_components")
 def pca_components(spark, sf_dir):
     model, proj = D.pca(feature_mart(spark, sf_dir), MART_FEATURES, 3)
