@@ -90,6 +90,26 @@ def test_passages_finds_every_repeated_stretch_of_50_words(spark):
         assert r.partner_id < r.doc_id and len(a) >= 50 and len(x & y) / len(x | y) >= 0.8 - 1e-9
 
 
+def made(rng, n):
+    return [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+def test_passages_behind_a_frequent_line(spark, monkeypatch):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        line, rest = made(rng, 30), made(rng, 20)
+        cut = int(rng.integers(0, 21))
+        passage = rest[:cut] + line + rest[cut:]
+        rows += [(10 * i, made(rng, 30) + line + made(rng, 30)), (10 * i + 1, line + made(rng, 40) + passage + made(rng, 20)), (10 * i + 2, made(rng, 25) + passage + line)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for most in (passages.HOT, 1):  # both ways of grouping
+        monkeypatch.setattr(passages, "HOT", most)
+        got = {(r.doc_id, r.partner_id) for r in passages.find(docs).collect()}
+        assert got == {(10 * i + 2, 10 * i + 1) for i in range(60)}
+    named = passages.find(docs.withColumn("doc_id", F.format_string("%05d", "doc_id")))
+    assert {(int(r.doc_id), int(r.partner_id)) for r in named.collect()} == got
+
+
 def base_spans(t):
     t, out = t or "", []
     for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
