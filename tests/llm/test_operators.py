@@ -110,6 +110,32 @@ def test_passages_behind_a_frequent_line(spark, monkeypatch):
     assert {(int(r.doc_id), int(r.partner_id)) for r in named.collect()} == got
 
 
+def test_passages_with_a_phrase_more_or_less():
+    rng = np.random.default_rng(6)
+    tokens = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    seen = {True: 0, False: 0}
+    for k in range(600):
+        n, more = [(90, 7), (80, 8), (98, 10)][k] if k < 3 else (int(rng.integers(50, 260)), int(rng.integers(1, 40)))
+        at = n // 2 if k < 3 else int(rng.integers(1, n))
+        words = tokens(n)
+        longer = np.r_[words[:at], tokens(more), words[at:]]
+        x, y = (passages.shingles(w, passages.GRAM) for w in (words, longer))
+        like = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        if k % 2:
+            x, y = y, x
+        common = np.flatnonzero(np.isin(x, y))
+        c = int(rng.choice(common))
+        centre = (20 + c, 30 + int(np.flatnonzero(y == x[c])[0]))
+        got = passages.verified(np.r_[tokens(20), x, tokens(25)], np.r_[tokens(30), y, tokens(15)], [centre], passages.LEAST, 0.8)
+        seen[like >= 0.8] += 1
+        if like >= 0.8:
+            assert len(got) == 1 and got[0][4] >= like - 1e-9, (n, more, at)
+            whole = got[0][:4] == (20, 19 + len(x), 30, 29 + len(y))
+            assert whole or (k > 2 and got[0][4] > like)  # without the end behind the phrase it may be liker
+        assert all(r[4] >= 0.8 and r[1] - r[0] >= 45 and r[3] - r[2] >= 45 for r in got)
+    assert min(seen.values()) > 50
+
+
 def base_spans(t):
     t, out = t or "", []
     for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
