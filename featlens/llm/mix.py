@@ -5,7 +5,7 @@ The integral of the schedule is the source's demand; inverting the cumulative de
 cumulative word offset gives the document's training position, and a range sort by position gives
 the training order.
 
-Defined cases: null text and null source are kept (size 0; the null source comes last); sources
+Defined cases: null text and null source are kept (size 0; the null source comes last; ``mixture`` keeps texts of size 0 once); sources
 whose texts are empty have target 0; repeated rows are separate documents; an empty table gives an
 empty result. Columns of the input other than ``doc_id, text, source`` are not read by ``plan``;
 ``mixture`` carries them along untouched in a struct, whatever their names.
@@ -107,11 +107,14 @@ def position(offset: Column, words: Column, slope: Column) -> Column:
 def mixture(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, repeats: int = MOST_REPEATS) -> DataFrame:
     """The training corpus: the rows of ``docs`` (same columns), repeated as taken, range-sorted by position.
 
-    A last, partial pass keeps a document if it takes at least half of its words.
+    A last, partial pass keeps a document if it takes at least half of its words. Documents without words (size 0) cost
+    none: each stays once, at the position of the words before it, or at the end of its source's words if these run out.
     """
     d = plan(docs, weights, slopes, repeats, carry=True)
-    times = F.when(F.col("size") > 0, F.expr("cast(floor(taken / size + 0.5) as int)")).otherwise(F.lit(0))
+    times = F.when(F.col("size") > 0, F.expr("cast(floor(taken / size + 0.5) as int)")).otherwise(F.lit(1))
     d = d.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(
         F.array().cast("array<int>"))))
-    at = position(F.col("copy") * F.col("source_size") + F.col("start"), F.col("words"), F.col("slope"))
+    offset = F.col("copy") * F.col("source_size") + F.col("start")
+    offset = F.when(F.col("size") > 0, offset).otherwise(F.least(offset, F.col("words")))
+    at = F.when(F.col("words") > 0, position(offset, F.col("words"), F.col("slope"))).otherwise(F.lit(0.0))
     return d.select("row", at.alias("at")).orderBy("at").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -333,6 +333,13 @@ def test_mix(spark, odd, none):
     assert sorted(map(tuple, mix.plan(even).collect())) == sorted(map(tuple, mix.plan(even).collect()))
 
 
+def test_mixture_keeps_documents_without_words(spark, odd):
+    assert sorted(r.doc_id for r in mix.mixture(odd).where("doc_id in (1, 2, 7)").collect()) == [1, 2, 7]
+    thin = spark.createDataFrame([(i, "w " * 10 if i % 2 else None, f"s{i % 3}") for i in range(300)] + [(300, "", "empty")], "doc_id long, text string, source string")
+    got = [r.doc_id for r in mix.mixture(thin).collect()]
+    assert sorted(i for i in got if i % 2 == 0) == list(range(0, 301, 2))
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as C
     assert [n for n, _ in C.STAGES] == ["toxicity", "jaccard_join", "personal_data", "mix", "pieces"]
