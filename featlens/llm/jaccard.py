@@ -155,7 +155,8 @@ def _possible(i: str, x: str, j: str, y: str, percent: int) -> Column:
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(described documents: doc_id, n, digest, rep; verified links a, b between representatives of classes).
+    """(described documents: doc_id, n, digest, rep; verified links a, b between representatives of classes, and between
+    a doc_id with several texts and the representatives of these).
 
     The links connect the same documents as all links together would.
     """
@@ -167,7 +168,12 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
     every = described.where("digest is not null").select("doc_id", "n", "digest")
     classes = materialize(every.where("n > 0").groupBy(F.col("digest").alias("c_digest")).agg(F.min("doc_id").alias("rep")))
     every = every.join(classes, every.digest == classes.c_digest, "left").drop("c_digest")
-    copies = materialize(every.where("n > 0 and doc_id <> rep").select("doc_id", "rep").distinct())
+    # rep <= doc_id: copies are the documents that represent none of their texts; several texts of one doc_id tie their classes
+    known = every.where("n > 0 and doc_id is not null")
+    held = materialize(known.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < doc_id"))
+    copies = held.where("hi < doc_id")
+    several = held.where("lo < hi").select(F.col("doc_id").alias("d_"))
+    ties = materialize(known.where("rep < doc_id").join(several, F.col("doc_id") == F.col("d_")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
 
     # prefixes by n-gram; the n-grams that one document only has are dropped before anything is joined
     entries = d.where("doc_id is not null").mapInArrow(_prefixes(n, percent, order), f"token bigint, doc_id {kind}, pos int, n int")
@@ -192,7 +198,7 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
 
     tried = entries.where((F.col("doc_id") != F.col("hub")) & _possible("pos", "n", "h_pos", "h_n", percent))
     tried = materialize(tried.select(*pair("doc_id", "hub")).distinct())
-    found = verified(tried)
+    found = verified(tried).union(ties)
     linked = components(found)
 
     # what is left: pairs of different components that share a prefix n-gram
@@ -221,7 +227,7 @@ def groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (same columns) whose doc_id is the smallest of its group; rows without a doc_id or without n-grams all stay.
 
-    Of rows with the same doc_id, all stay or none.
+    Of rows with the same doc_id, all stay or none: they are one document, so one text's link lets its other texts go too.
     """
     drop = groups(docs, n, percent).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("d_")).distinct()
     return docs.join(materialize(drop), F.col("doc_id") == F.col("d_"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

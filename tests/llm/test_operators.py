@@ -259,6 +259,13 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.groups(none).count() == 0 and passages.find(odd).count() == 0 and passages.find(none).count() == 0
 
 
+def test_jaccard_one_doc_id_with_two_texts(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (2, b), (3, c), (5, a), (5, d), (6, d + " more"), (7, b), (7, c), (9, e), (9, e), (10, e + " more"), (None, a)]
+    got = sorted((r.doc_id or -1, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 1), (1, 1), (2, 2), (3, 2), (5, 1), (5, 1), (6, 1), (7, 2), (7, 2), (9, 9), (9, 9), (10, 9)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, 200 + i) for i in range(50)] + [(7, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
