@@ -130,7 +130,8 @@ def search(df: DataFrame, k: int = K, every: int = V.QUERY_EVERY) -> DataFrame:
                         least[j] = float(s[-1])
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in _cells(b, "dim", "block", "ids", "matrix")],
                                                   pa.array([least.tobytes()], pa.binary())], ["dim", "block", "ids", "matrix", "bound"])
-    q = queries.join(seed, queries.dim == seed.s_dim).select("dim", "block", "ids", "matrix", "s_ids", "s_matrix")
+    # broadcast: else all query blocks of a dimension meet it in one task
+    q = queries.join(F.broadcast(seed), queries.dim == seed.s_dim).select("dim", "block", "ids", "matrix", "s_ids", "s_matrix")
     q = q.mapInArrow(bound, "dim int, block string, ids binary, matrix binary, bound binary")
     q = materialize(q)
 

@@ -292,6 +292,19 @@ def test_top_products_are_exact(spark):
     assert topk.search(df.where("false")).count() == 0 and neighbours.search(df.where("false")).count() == 0
 
 
+def test_top_products_seed_is_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+    plans, write = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda x: plans.append(x._jdf.queryExecution().toString()) or write(x))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        topk.search(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) == 2 and "SortMergeJoin" not in plans[1] and plans[1].count("BroadcastHashJoin") >= 2
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(4)
     m = np.floor(256 * (rng.standard_normal((500, 4)) + [3, 0, 0, 0]))
