@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm import jaccard, mix, neighbours, passages, pii, piecewise, quality, tokenids, topk, toxicity
+from featlens.llm import jaccard, mix, neighbours, passages, pii, piecewise, quality, spelling, tokenids, topk, toxicity, wordbpe
 from featlens.llm.common import table
 
 #: Vocabulary files: a parameter of the queries.
-TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+TOKENIZER, PIECES, WORD_ENDS = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -64,17 +64,53 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(F.coalesce("position", behind)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op12_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digest(table(spark, sf_dir, "documents"), wordbpe.load(vocabulary(WORD_ENDS)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_passages, op2_personal_data, op3_quality, op4_token_files, op5_jaccard_join, op6_neighbours,
-                                   op7_pieces, op8_top_products, op9_toxicity, op10_mix, pipeline)}
+                                   op7_pieces, op8_top_products, op9_toxicity, op10_mix, op12_word_tokens, op13_spelling_variants, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a text in SQL: the table of the reflected polynomial, then a step for every byte.
+CRC_TABLE = ("(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
+             "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)")
+
+
+def crc_sql(text: str, t: str = "t") -> str:
+    """SQL for the CRC-32 of ``text``; ``t`` is the column of CRC_TABLE."""
+    h = f"hex(encode({text}))"
+    byte = f"list_transform(range(length({h}) // 2), lambda i: CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT))"
+    return (f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, {t}[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)")
+
+
 ORACLE = {
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS {CRC_TABLE},
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+r AS (SELECT id, run, count(*) AS k FROM o WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, k, {crc_sql("id || ':' || run")} AS h FROM r, t),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+p AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS p, substr(word, 1, i) || substr(word, i + 2) AS s FROM i),
+e AS (SELECT a.word, b.word AS near, b.n FROM p a JOIN p b ON a.p = b.p AND a.word <> b.word
+      UNION SELECT p.word, w.word, w.n FROM p JOIN w ON p.s = w.word UNION SELECT w.word, p.word, p.n FROM p JOIN w ON p.s = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS most FROM e GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * w.n THEN b.best END AS form, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n
+      FROM w LEFT JOIN b ON b.word = w.word),
+c AS (SELECT word, word AS at, 0 AS step FROM f UNION ALL SELECT c.word, f.form, c.step + 1 FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(c.at, c.step) FROM c WHERE c.word = f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f""",
     "op5_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
