@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm import jaccard, mix, neighbours, passages, pii, piecewise, quality, spelling, tokenids, topk, toxicity, wordbpe
+from featlens.llm import conversations, jaccard, mix, neighbours, passages, pii, piecewise, quality, spelling, tokenids, topk, toxicity, wordbpe
 from featlens.llm.common import table
 
 #: Vocabulary files: a parameter of the queries.
@@ -64,6 +64,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(F.coalesce("position", behind)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digest(table(spark, sf_dir, "documents"), wordbpe.load(vocabulary(WORD_ENDS)))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_passages, op2_personal_data, op3_quality, op4_token_files, op5_jaccard_join, op6_neighbours,
-                                   op7_pieces, op8_top_products, op9_toxicity, op10_mix, op12_word_tokens, op13_spelling_variants, pipeline)}
+                                   op7_pieces, op8_top_products, op9_toxicity, op10_mix, op11_turn_repair, op12_word_tokens, op13_spelling_variants, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,7 +98,51 @@ def crc_sql(text: str, t: str = "t") -> str:
     return (f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, {t}[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)")
 
 
+def repair_sql() -> str:
+    """SQL for op11: least (cost, audit) of the rest from each of the four states, row by row from the end."""
+    lead = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    keep = {0: "CASE ini WHEN 's' THEN b[2] WHEN 'u' THEN b[3] END", 1: "CASE ini WHEN 'u' THEN b[3] END",
+            2: "CASE ini WHEN 'a' THEN b[4] END", 3: "CASE ini WHEN 'u' THEN b[3] END"}
+
+    def way(rest, cost, letters, rows):
+        return f"CASE WHEN {rest} IS NOT NULL THEN {{'c': {rest}.c + {cost}, 'a': '{letters}' || {rest}.a, 'r': {rows} || {rest}.r}} END"
+
+    def least(ways):
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+    row, ahead = [], []
+    for s in range(4):
+        to, role = lead[s]
+        kept, changed = way(f"({keep[s]})", "pay", "K", "line"), way(f"b[{to + 1}]", "3 + pay", "R", f"chr(10) || '{role}:' || text")
+        row.append(least([way(f"b[{s + 1}]", 4, "D", "''"), f"CASE WHEN NOT gone THEN {kept} END", f"CASE WHEN NOT gone THEN {changed} END"]))
+        then, other = lead[to]
+        ahead.append(least([f"e[{s + 1}]", way(f"e[{to + 1}]", 3, "I", f"chr(10) || '{role}:'"),
+                            way(f"e[{then + 1}]", 6, "II", f"chr(10) || '{role}:' || chr(10) || '{other}:'")]))
+    done = "{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}"
+    return rf"""
+WITH RECURSIVE t AS {CRC_TABLE},
+g AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations, t),
+d AS (SELECT g.g, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h JOIN g ON g.conv_id IS NOT DISTINCT FROM h.conv_id WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(role || chr(0) || text), copy) AS i, count(*) OVER (PARTITION BY g) AS n,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS ini FROM d),
+x AS (SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS seen, lag(ini) OVER (PARTITION BY g ORDER BY i) || ini AS pair FROM o),
+r AS (SELECT *, blank OR seen AS gone, CASE WHEN NOT blank AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS pay,
+             chr(10) || role || ':' || text AS line FROM x),
+v AS (SELECT g, n AS i, [{done}, {{'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': 3, 'a': 'I', 'r': chr(10) || 'assistant:'}}, {done}] AS b FROM r WHERE i = n
+      UNION ALL
+      SELECT g, i - 1, [{", ".join(ahead)}] FROM (SELECT v.g, v.i, [{", ".join(row)}] AS e FROM v JOIN r ON r.g = v.g AND r.i = v.i)),
+s AS (SELECT g, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
+             count(*) FILTER (pay > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY g)
+SELECT g.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(s.blank, 0) AS BIGINT) AS blank, CAST(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(s.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v.b[1].c, 0) AS BIGINT) AS cost,
+       coalesce(v.b[1].a, '') AS audit, sha256(coalesce(substr(v.b[1].r, 2), '')) AS repaired_sha256
+FROM g LEFT JOIN s ON s.g = g.g LEFT JOIN v ON v.g = g.g AND v.i = 0"""
+
+
 ORACLE = {
+    "op11_turn_repair": repair_sql(),
     "op13_spelling_variants": rf"""
 WITH RECURSIVE t AS {CRC_TABLE},
 o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
