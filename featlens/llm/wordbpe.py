@@ -37,7 +37,7 @@ from featlens.llm.piecewise import chunks
 #: White space that no word holds in any of the supported files; texts are cut there and nowhere else.
 BLANKS = re.compile(r"[^ \t\n\r]+")
 #: Characters of stretches that a worker remembers before it forgets them all (a cache: results don't depend on it).
-MOST_CHARACTERS = 20_000_000
+MOST_CHARACTERS = 8_000_000
 _NEVER = 1 << 60
 
 
@@ -51,8 +51,9 @@ class Vocabulary:
         if (model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges")
                 or model.get("continuing_subword_prefix") or not model.get("end_of_word_suffix") or spec.get("decoder")):
             raise ValueError("not a BPE with word ends and without a decoder")
-        library = Tokenizer.from_str(source)
-        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        # only the rules are wanted of the library: its own copy of the vocabulary would cost every worker tens of MB
+        rules = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
+        self.normalizer, self.pre_tokenizer = rules.normalizer, rules.pre_tokenizer
         self.end = model["end_of_word_suffix"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or not t["content"] or BLANKS.fullmatch(t["content"]) is None for t in spec["added_tokens"]):
@@ -60,7 +61,9 @@ class Vocabulary:
         self.added = added
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         ids = model["vocab"]
-        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in added.items()}
+        self.names: list[str | None] = [None] * (1 + max([-1, *ids.values(), *added.values()]))
+        for t, i in [*ids.items(), *added.items()]:
+            self.names[i] = t
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._derive(ids, merges)
 
@@ -69,8 +72,8 @@ class Vocabulary:
         #: vocabulary entries by their characters: within a word, and at its end
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
-        self.width = {}
-        self.birth, self.left, self.right = {}, {}, {}
+        #: by id: characters, the merge that makes it (-1: a character, None: no entry), and that merge's parts
+        self.width, self.birth, self.left, self.right = ([None] * len(self.names) for _ in range(4))
         self.pairs: dict[tuple[int, int], int] = {}
         for name, i in ids.items():
             if name not in made:
@@ -85,7 +88,7 @@ class Vocabulary:
         ends = set(self.final.values())
         for rank, (a, b) in enumerate(merges):
             x, y, i = ids.get(a), ids.get(b), ids.get(a + b)
-            if x not in self.birth or y not in self.birth or i is None or i in self.birth or x in ends:
+            if None in (x, y, i) or self.birth[x] is None or self.birth[y] is None or self.birth[i] is not None or x in ends:
                 raise ValueError(f"merge {rank} uses parts that are not there yet, or makes one again")
             self.pairs[x, y] = rank
             self.birth[i], self.left[i], self.right[i] = rank, x, y
@@ -95,8 +98,8 @@ class Vocabulary:
                 self.final[(a + b)[:-len(self.end)]] = i
             else:
                 self.inner[a + b] = i
-        self.longest = max(self.width.values(), default=1)
-        self.tolerates = lru_cache(1 << 20)(self._tolerates)
+        self.longest = max((w for w in self.width if w), default=1)
+        self.tolerates = lru_cache(1 << 18)(self._tolerates)
 
     def _tolerates(self, a: int, b: int) -> bool:
         """Whether the texts of ``a`` and ``b`` side by side are encoded as these two tokens.
@@ -127,26 +130,25 @@ class Vocabulary:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del path[shared:]
-            for end in range(shared + 1, n):
-                path.append(self._last(word, end, inner, path, tolerates, longest))
-            token = self._last(word, n, final, path, tolerates, longest)
-            ids, at = [token], n - width[token]
+            for end in range(shared + 1, n + 1):
+                entry = inner if end < n else final
+                for start in range(end - 1, max(0, end - longest) - 1, -1):
+                    token = entry(word[start:end])
+                    if token is not None and (start == 0 or tolerates(path[start - 1], token)):
+                        break
+                else:
+                    raise ValueError(f"no token ends at character {end} of {word[:80]!r}")
+                path.append(token)
+            ids, at = [], n
             while at:
                 token = path[at - 1]
                 ids.append(token)
                 at -= width[token]
             out[word] = tuple(reversed(ids))
+            path.pop()              # the end of a word is no prefix of another
             before = word
         return out
 
-    @staticmethod
-    def _last(word, end, entry, path, tolerates, longest) -> int:
-        for start in range(end - 1, max(0, end - longest) - 1, -1):
-            token = entry(word[start:end])
-            if token is not None and (start == 0 or tolerates(path[start - 1], token)):
-                return token
-        raise ValueError(f"no token ends at character {end} of {word[:80]!r}")
-
     def cut(self, stretch: str) -> list[str]:
         """The words of a stretch of text without blanks, by the file's own rules."""
         text = self.normalizer.normalize_str(stretch) if self.normalizer else stretch
@@ -227,8 +229,14 @@ def load(path: str) -> str:
     return source
 
 
-def encode(docs: DataFrame, source: str) -> DataFrame:
-    """``doc_id, ids`` for every row of ``docs``. The file (some MB) is broadcast."""
+def _decoded(v: Vocabulary, ids: list[int]) -> str:
+    names, n = v.names, len(v.names)
+    return " ".join([names[i] for i in ids if 0 <= i < n and names[i] is not None])
+
+
+def encode(docs: DataFrame, source: str, *, text: bool = False) -> DataFrame:
+    """``doc_id, ids`` for every row of ``docs``; with ``text`` also the ids decoded again, as ``decode`` does, in
+    the same worker. The file (some MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches):
@@ -239,11 +247,13 @@ def encode(docs: DataFrame, source: str) -> DataFrame:
                 found = enc.encode(part)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int32), *found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                 ["doc_id", "ids"])
+                out = {"doc_id": batch.column(0).slice(done, len(part)), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                if text:
+                    out["text"] = pa.array([_decoded(enc.v, f.tolist()) for f in found], pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
                 done += len(part)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", text string" if text else ""))
 
 
 def decode(tokens: DataFrame, source: str) -> DataFrame:
@@ -254,16 +264,15 @@ def decode(tokens: DataFrame, source: str) -> DataFrame:
     schema = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
-        names = parsed(shared.value).names
+        v = parsed(shared.value)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [" ".join([names[i] for i in x.as_py() or [] if i in names]) for x in ids]
+            texts = [_decoded(v, x.as_py() or []) for x in batch.column(batch.schema.get_field_index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "text"])
     return tokens.select(*kept).mapInArrow(run, f"{schema}, text string")
 
 
 def digest(docs: DataFrame, source: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests of what ``encode`` and ``decode`` give."""
-    d = decode(encode(docs, source), source)
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests of the ids and of the decoded text."""
+    d = encode(docs, source, text=True)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                     F.sha2("text", 256).alias("decoded_sha256"))
