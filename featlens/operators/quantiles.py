@@ -1,5 +1,6 @@
 """Exact, distributed quantiles with linear interpolation (pandas/NumPy default).
 
+Quantiles of whole columns are selected by bracket and count (``selection``). Quantiles within groups:
 ``percentile`` keeps a value->count map per group in one aggregation buffer, so a global
 exact percentile over a continuous column finishes in one task holding every distinct
 value. Here values collapse to (value, count) cells, cells fall into quantile buckets
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from featlens.functions.scalar import normalise_nans
 from featlens.operators.ranking import DEFAULT_BUCKETS, bucketize
+from featlens.operators.selection import order_quantiles
 from featlens.session import materialize
 
 
@@ -39,6 +41,8 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=None
         return agg.select(*g, F.explode(F.transform(
             "_v", lambda v, i: F.struct(F.element_at(qarr, i + 1).alias("q"), v.alias("value")))).alias("e")
         ).select(*g, "e.q", "e.value")
+    if not g:
+        return spark.createDataFrame([(q, x) for _, q, x in order_quantiles(df, [value_col], probs)], "q double, value double")
     # NaN is missing, as NULL is
     df = normalise_nans(df)
     v = F.col(value_col)
@@ -99,7 +103,9 @@ def _quantiles_one_bucket(cells: DataFrame, g: list[str], probs: list[float]) ->
 
 
 def quantile_long(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> DataFrame:
-    """Quantiles of several columns in one pipeline: ``(column, q, value)``."""
+    """Quantiles of several columns at once: ``(column, q, value)``, exact ones by selection (no value is shuffled)."""
+    if exact:
+        return df.sparkSession.createDataFrame(order_quantiles(df, cols, probs), "column string, q double, value double")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("e")
     ).select("e.column", "e.v")
