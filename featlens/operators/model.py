@@ -2,8 +2,8 @@
 
 Splits are exact and repeatable: rows are ordered by a 60-bit prefix of
 ``md5(key || '#' || seed)`` (same value in Spark and DuckDB) and the test set is every row
-below the k-th hash, found with the distributed prefix-sum helper (no ``limit(k)`` of a
-fifth of the table into one task). Learners are MLlib estimators; metrics are aggregates
+below the k-th hash, which a distributed selection finds (no ``limit(k)`` of a fifth of the
+table into one task, no join of the table with its hashes). Learners are MLlib estimators; metrics are aggregates
 over (label, prediction).
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from featlens.functions.scalar import pct_change, verdict
 from featlens.operators.assoc import pair_moments
-from featlens.operators.ranking import average_rank, ordered_cells
+from featlens.operators.ranking import average_rank
+from featlens.operators.selection import hash_thresholds
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
@@ -29,45 +30,64 @@ def split_hash(key: Column, seed: int = 42) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: exactly ``ceil(n * test_size)`` rows with the smallest hashes."""
-    h = df.withColumn("_h", split_hash(F.col(key), seed))
-    cells = ordered_cells(h, "_h")               # (_h, cnt, before) with distributed prefix sums
-    n = cells.agg(F.sum("cnt").alias("_n"))
-    k = n.select(F.ceil(F.col("_n") * F.lit(test_size)).cast("bigint").alias("_k"))
-    flag = cells.crossJoin(F.broadcast(k)).select("_h", "cnt", "before", "_k")
-    tagged = h.join(flag, "_h")
-    return _flag_with_ties(tagged, key, "_k").drop("_k")
-
+    """Adds ``is_test``: exactly ``ceil(n * test_size)`` rows with the smallest hashes.
 
-def _flag_with_ties(tagged: DataFrame, key: str, quota: str, group=()) -> DataFrame:
-    """``is_test = before + position <= quota``. Rows alone in their hash cell (all but a
-    handful) need no ordering; only tied cells get a window (by key), so the table is never
-    re-shuffled just to break ties."""
-    single = tagged.filter(F.col("cnt") == 1).withColumn("is_test", F.col("before") + 1 <= F.col(quota))
-    w = Window.partitionBy(*group, "_h").orderBy(key)
-    tied = tagged.filter(F.col("cnt") > 1).withColumn(
-        "is_test", F.col("before") + F.row_number().over(w) <= F.col(quota))
-    return single.unionByName(tied).drop("_h", "cnt", "before")
+    One hash is selected and goes out to the rows, which are flagged where they are."""
+    h = df.withColumn("_h", split_hash(F.col(key), seed))
+    quota = lambda n: n.select("_class", F.ceil(F.col("n") * F.lit(test_size)).cast("bigint").alias("quota"))
+    at = hash_thresholds(h.select(F.lit("").alias("_class"), "_h"), "_h", quota, "_class").first()
+    if at is None:      # no rows
+        return h.withColumn("is_test", F.lit(False)).drop("_h")
+    # a third of the rows may have one key: which of the rows at the threshold are taken is then settled in the same way
+    flagged = h.withColumns({"_t": F.lit(at["_t"]).cast("bigint"), "_need": F.lit(at["_need"]).cast("bigint"), "_same": F.lit(at["_same"]).cast("bigint")})
+    return _flag(flagged, key, at["_need"] < at["_same"])
+
+
+def _flag(rows: DataFrame, key: str, ties: bool, group=()) -> DataFrame:
+    """``is_test`` from each row's threshold. Only where fewer rows are wanted than share the threshold's hash do
+    those rows need an order: by key, and equal keys by a hash of the whole row."""
+    whole = F.col("_need") == F.col("_same")
+    out = rows.columns[:-4 - len(group)]
+    if not ties:
+        return rows.withColumn("is_test", (F.col("_h") < F.col("_t")) | ((F.col("_h") == F.col("_t")) & whole)).select(*out, "is_test")
+    tied = (F.col("_h") == F.col("_t")) & ~whole
+    clear = rows.where(~tied).withColumn("is_test", F.col("_h") <= F.col("_t"))
+    some = rows.where(tied).withColumn("_row", F.xxhash64(*out))
+    # (key, row hash) cells in order; a cell before the last wanted one is taken whole, equal rows of the last one by number
+    cells = some.groupBy(*group, key, "_row", "_need").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*group).orderBy(key, "_row").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0))).where("_before < _need")
+    cells = cells.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(key).alias("_k"), F.col("_row").alias("_r"), "_before", "_c")
+    same = F.col("_row") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & (F.col(g) == F.col(f"_g{i}"))
+    some = some.join(cells, same & F.col(key).eqNullSafe(F.col("_k")), "left")
+    left = F.col("_need") - F.col("_before")
+    full = some.where("_before is null or _before + _c <= _need").withColumn("is_test", F.col("_before").isNotNull())
+    part = some.where("_before + _c > _need").withColumn("is_test", F.row_number().over(Window.partitionBy(*group, "_row").orderBy(key)) <= left)
+    return clear.select(*out, "is_test").unionByName(full.select(*out, "is_test")).unionByName(part.select(*out, "is_test"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Per-class test quota by largest remainder (ties by class), then the smallest
-    hashes within each class; class groups are ranked with bucketed prefix sums."""
+    """Per-class test quota by largest remainder (ties by class), then the smallest hashes within each class:
+    one selected hash a class goes out to the rows."""
     # a NULL label is a class of its own: classes are joined by a text that NULL has too
     h = df.withColumn("_h", split_hash(F.col(key), seed)).withColumn("_class", F.to_json(F.struct(F.col(label))))
-    counts = h.groupBy("_class", label).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"))
-    c = counts.crossJoin(F.broadcast(tot)).withColumn(
-        "_k", F.ceil(F.col("_n") * F.lit(test_size))).withColumn(
-        "_exact", F.col("_nc").cast("double") * F.col("_k").cast("double") / F.col("_n").cast("double")).withColumn("_base", F.floor("_exact"))
-    w = Window.orderBy((F.col("_exact") - F.col("_base")).desc(), F.col(label))
-    left = F.col("_k") - F.sum("_base").over(Window.partitionBy())
-    quota = c.withColumn("_r", F.row_number().over(w)).withColumn(
-        "_quota", (F.col("_base") + F.when(F.col("_r") <= left, 1).otherwise(0)).cast("bigint")) \
-        .select("_class", "_quota")                  # one row per class: broadcast if Catalyst finds it small
-    cells = ordered_cells(h, "_h", ["_class"])
-    tagged = h.join(cells.select("_class", "_h", "cnt", "before"), ["_class", "_h"]).join(quota, "_class")
-    return _flag_with_ties(tagged, key, "_quota", ["_class"]).drop("_quota", "_class")
+    kind = df.schema[label].dataType.simpleString()
+
+    def quota(n):
+        n = n.select("_class", F.col("n").cast("decimal(19,0)").alias("_nc"), F.from_json("_class", f"`{label}` {kind}")[label].alias("_label"))
+        c = n.crossJoin(F.broadcast(n.agg(F.sum("_nc").alias("_n")))).withColumn(
+            "_k", F.ceil(F.col("_n") * F.lit(test_size))).withColumn(
+            "_exact", F.col("_nc").cast("double") * F.col("_k").cast("double") / F.col("_n").cast("double")).withColumn("_base", F.floor("_exact"))
+        w = Window.orderBy((F.col("_exact") - F.col("_base")).desc(), "_label")      # over classes
+        left = F.col("_k") - F.sum("_base").over(Window.partitionBy())
+        return c.withColumn("_r", F.row_number().over(w)).select(
+            "_class", (F.col("_base") + F.when(F.col("_r") <= left, 1).otherwise(0)).cast("bigint").alias("quota"))
+    at = hash_thresholds(h.select("_class", "_h"), "_h", quota, "_class")     # one row a class, broadcast if Catalyst finds it small
+    ties = at.where("_need < _same").limit(1).count() > 0
+    rows = h.join(at, "_class").select(*df.columns, "_class", "_h", "_t", "_need", "_same")
+    return _flag(rows, key, ties, ["_class"])
 
 
 @dataclass(frozen=True)

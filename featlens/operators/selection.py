@@ -105,7 +105,7 @@ def order_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> list[
             else:
                 position = probs[i] * (n - 1)
                 part = position - math.floor(position)
-                values[k, i] = ends[0] + part * (ends[1] - ends[0]) if part else ends[0]
+                values[k, i] = ends[0] if ends[0] == ends[1] else ends[0] + part * (ends[1] - ends[0])
         wanted = missed
     return [(cols[k], probs[i], values[k, i]) for k, i in sorted(values)]
 
