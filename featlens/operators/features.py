@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from featlens.functions.scalar import is_numeric_type, nan_to_null
 from featlens.operators.quantiles import quantile_long
+from featlens.operators.selection import order_quantiles
 from featlens.session import materialize
 
 KINDS = ("multiply", "add", "divide", "subtract")
@@ -174,11 +175,13 @@ def _bin_checks(df: DataFrame, feats: list[str]) -> dict:
     return {f: (row[f"_n{k}"], row[f"_lo{k}"], row[f"_hi{k}"]) for k, f in enumerate(feats)}
 
 
-def _bin_by_edges(x: Column, edges: Column) -> Column:
-    """Ordinal bin = number of inner edges <= x (edges sorted, duplicates removed)."""
-    kept = F.filter(edges, lambda e, i: (i == 0) | (e - F.element_at(edges, i) > 1e-8))
-    inner = F.slice(kept, 2, F.size(kept) - 2)
-    return F.size(F.filter(inner, lambda e: e <= x)).cast("double")
+def _bin_by_edges(x: Column, edges: list[float]) -> Column:
+    """Ordinal bin = number of inner edges <= x (edges sorted, duplicates removed): comparisons in generated code."""
+    kept = [e for i, e in enumerate(edges) if i == 0 or e - edges[i - 1] > 1e-8]
+    bin_ = F.lit(0.0)
+    for e in kept[1:-1]:
+        bin_ = bin_ + F.when(x >= F.lit(e), 1.0).otherwise(0.0)
+    return bin_
 
 
 def create_binned_features(df: DataFrame, features: list[str], n_bins: int = 5, strategy: str = "quantile",
@@ -203,30 +206,20 @@ def create_binned_features(df: DataFrame, features: list[str], n_bins: int = 5,
         ok.append(f)
     if not ok:
         return df
+    edges = {}
     if strategy == "quantile":
-        probs = [k / n_bins for k in range(n_bins + 1)]
-        q = quantile_long(df, ok, probs)
-        edges = q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_e"))
-        edges = edges.select("column", F.transform("_e", lambda s: s["value"]).alias("_e"))
-        row = edges.groupBy().pivot("column", ok).agg(F.first("_e"))   # one row of p arrays
-        row = row.select([F.col(f"`{f}`").alias(f"_edges_{k}") for k, f in enumerate(ok)])
-    else:
-        arrays = []
-        for k, f in enumerate(ok):
-            _, lo, hi = checks[f]
-            if strategy == "uniform":
-                e = [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
-                e[-1] = hi
-            else:
-                e = kmeans_edges(df, f, n_bins, lo, hi, max_iter=kmeans_iter)
-            arrays.append(F.array(*[F.lit(float(v)) for v in e]).alias(f"_edges_{k}"))
-        row = df.sparkSession.range(1).select(*arrays)
-    joined = df.crossJoin(F.broadcast(row))                               # one-row broadcast
-    new = {f"{f}_BIN{n_bins}": _bin_by_edges(F.col(f).cast("double"), F.col(f"_edges_{k}"))
-           for k, f in enumerate(ok)}
+        for f, _, value in order_quantiles(df, ok, [k / n_bins for k in range(n_bins + 1)]):
+            edges.setdefault(f, []).append(value)
+    for f in ok:
+        _, lo, hi = checks[f]
+        if strategy == "uniform":
+            edges[f] = [lo + (hi - lo) * i / n_bins for i in range(n_bins)] + [hi]
+        elif strategy == "kmeans":
+            edges[f] = kmeans_edges(df, f, n_bins, lo, hi, max_iter=kmeans_iter)
+    new = {f"{f}_BIN{n_bins}": _bin_by_edges(F.col(f).cast("double"), edges[f]) for f in ok}
     if log is not None:
         log.created.extend(new)
-    return joined.withColumns(new).drop(*[f"_edges_{k}" for k in range(len(ok))])
+    return df.withColumns(new)
 
 
 def kmeans_edges(df: DataFrame, feature: str, n_bins: int, lo: float, hi: float,

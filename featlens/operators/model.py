@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from featlens.functions.scalar import pct_change, verdict
 from featlens.operators.assoc import pair_moments
 from featlens.operators.ranking import average_rank
-from featlens.operators.selection import hash_thresholds
+from featlens.operators.selection import hash_threshold, hash_thresholds
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
@@ -34,13 +34,11 @@ def exact_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42)
 
     One hash is selected and goes out to the rows, which are flagged where they are."""
     h = df.withColumn("_h", split_hash(F.col(key), seed))
-    quota = lambda n: n.select("_class", F.ceil(F.col("n") * F.lit(test_size)).cast("bigint").alias("quota"))
-    at = hash_thresholds(h.select(F.lit("").alias("_class"), "_h"), "_h", quota, "_class").first()
+    at = hash_threshold(h, "_h", test_size)
     if at is None:      # no rows
         return h.withColumn("is_test", F.lit(False)).drop("_h")
-    # a third of the rows may have one key: which of the rows at the threshold are taken is then settled in the same way
-    flagged = h.withColumns({"_t": F.lit(at["_t"]).cast("bigint"), "_need": F.lit(at["_need"]).cast("bigint"), "_same": F.lit(at["_same"]).cast("bigint")})
-    return _flag(flagged, key, at["_need"] < at["_same"])
+    rows = h.withColumns({name: F.lit(value).cast("bigint") for name, value in zip(("_t", "_need", "_same"), at)})
+    return _flag(rows, key, at[1] < at[2])
 
 
 def _flag(rows: DataFrame, key: str, ties: bool, group=()) -> DataFrame:

@@ -38,7 +38,7 @@ _INF = float("inf")
 def _sketch(df: DataFrame, cols: list[str], probs: list[float]) -> dict[int, tuple[int, list]]:
     """column number -> (values, brackets of the probabilities), from one aggregate of scalars."""
     off = MARGIN / ACCURACY
-    ask = [p for q in probs for p in (max(0.0, q - off), min(1.0, q + off))]
+    ask = [min(1.0, max(0.0, p)) for q in probs for p in (q - off, q + off)]
     x = df.select([nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"_x{k}") for k, c in enumerate(cols)])
     row = x.agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in range(len(cols))],
                 *[F.percentile_approx(f"_x{k}", ask, ACCURACY).alias(f"_a{k}") for k in range(len(cols))]).first()
@@ -121,6 +121,25 @@ def _around(q: float, n: int) -> tuple[int, int]:
 HASH_BITS, PART_BITS = 60, 16
 
 
+def hash_threshold(df: DataFrame, hashed: str, share: float) -> tuple[int, int, int] | None:
+    """(t, need, same): the rows with a hash below ``t`` and ``need`` of the ``same`` rows at ``t`` are the
+    ``ceil(n * share)`` smallest; None without rows. The driver gets the counts by first bits (65536 at most)."""
+    part = F.shiftright(F.col(hashed), HASH_BITS - PART_BITS)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(part.alias("_p")).agg(F.count(F.lit(1))).collect())
+    if not counts:
+        return None
+    quota = math.ceil(sum(c for _, c in counts) * share)
+    if quota <= 0:
+        return -1, 0, 0
+    for p, c in counts:
+        if quota <= c:
+            break
+        quota -= c
+    cells = ordered_cells(df.select(hashed).where(part == p), hashed)
+    row = cells.where((F.col("before") < quota) & (F.col("before") + F.col("cnt") >= quota)).first()
+    return row[hashed], quota - row["before"], row["cnt"]
+
+
 def hash_thresholds(df: DataFrame, hashed: str, quotas, group: str) -> DataFrame:
     """``(group, _t, _need)`` for every group of ``df``: the rows with a hash below ``_t`` and ``_need`` of
     those at ``_t`` are the group's ``quota`` smallest; ``_same`` rows are at ``_t``.
@@ -133,7 +152,7 @@ def hash_thresholds(df: DataFrame, hashed: str, quotas, group: str) -> DataFrame
     quota = quotas(counts.groupBy(group).agg(F.sum("_c").alias("n")))
     along = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0))).join(quota, group)
-    hit = materialize(ahead.where("_before < quota and quota <= _before + _c").select(F.col(group).alias("_g"), F.col("_p").alias("_q"), "_before", "quota"))
+    hit = ahead.where("_before < quota and quota <= _before + _c").select(F.col(group).alias("_g"), F.col("_p").alias("_q"), "_before", "quota")
     kept = df.select(group, hashed, part.alias("_p")).join(hit, (F.col(group) == F.col("_g")) & (F.col("_p") == F.col("_q")), "left_semi")
     cells = ordered_cells(kept, hashed, [group])
     rest = F.col("quota") - F.col("_before") - F.col("before")
