@@ -18,39 +18,16 @@ def fold_of(key: str, k: int = 5, seed: int = 42):
 
 
 def cv_linear(df: DataFrame, key: str, x: str, y: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """K-fold CV of the least-squares line y ~ x in ONE scan.
-
-    The scan yields per-fold centred summaries (n, means, M2x, M2y, Cxy; Spark merges them
-    with Welford updates). Each fold's training line comes from the other folds' summaries
-    (parallel-combination formula on a k x k table) and its held-out error is exact algebra
-    on the fold's own summary: SSE = M2y + n (ybar - a - b xbar)^2 - 2 b Cxy + b^2 M2x.
-    """
-    d = df.select(fold_of(key, k, seed).alias("fold"), F.col(x).cast("double").alias("x"),
-                  F.col(y).cast("double").alias("y")).dropna()
-    st = d.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
-        (F.var_pop("x") * F.count(F.lit(1))).alias("m2x"), (F.var_pop("y") * F.count(F.lit(1))).alias("m2y"),
-        (F.covar_pop("x", "y") * F.count(F.lit(1))).alias("cxy"))
-    # k rows: every fold paired with every other fold (k^2 rows) -> training summaries
-    o = st.select(*[F.col(c).alias(f"o_{c}") for c in st.columns])
-    pairs = st.select("fold").crossJoin(F.broadcast(o)).filter(F.col("fold") != F.col("o_fold"))
-    tm = pairs.groupBy("fold").agg(F.sum("o_n").alias("tn"),
-                                   (F.sum(F.col("o_n") * F.col("o_mx")) / F.sum("o_n")).alias("tmx"),
-                                   (F.sum(F.col("o_n") * F.col("o_my")) / F.sum("o_n")).alias("tmy"))
-    tr = pairs.join(F.broadcast(tm), "fold").groupBy("fold", "tn", "tmx", "tmy").agg(
-        F.sum(F.col("o_m2x") + F.col("o_n") * (F.col("o_mx") - F.col("tmx")) ** 2).alias("tm2x"),
-        F.sum(F.col("o_cxy") + F.col("o_n") * (F.col("o_mx") - F.col("tmx")) * (F.col("o_my") - F.col("tmy")))
-        .alias("tcxy"))
-    fit = tr.select("fold", F.col("tn").alias("n_train"), F.try_divide(F.col("tcxy"), F.col("tm2x")).alias("slope"),
-                    "tmx", "tmy")
-    fit = fit.withColumn("intercept", F.col("tmy") - F.col("slope") * F.col("tmx"))
-    j = st.join(F.broadcast(fit), "fold")
-    b = F.col("slope")
-    resid = F.col("my") - F.col("intercept") - b * F.col("mx")
-    sse = F.col("m2y") + F.col("n") * resid * resid - 2 * b * F.col("cxy") + b * b * F.col("m2x")
-    return j.select("fold", F.col("n_train").cast("bigint").alias("n_train"), F.col("n").alias("n_test"),
-                    "slope", "intercept", (F.lit(1.0) - F.try_divide(sse, F.col("m2y"))).alias("r2"),
-                    F.sqrt(sse / F.col("n")).alias("rmse"))
+    """D1 for one predictor: k-fold CV of the least-squares line y ~ x from one scan (fold moment blocks), with
+    the line of every fold. Lists of predictors, mean and deviation: ``gram.cross_validated``."""
+    from featlens.operators import gram
+    blocks = gram.fold_moments(df, [x, y], fold_of(key, k, seed), k)
+    rows = []
+    for fold, train, held in gram._leave_one_out(blocks):
+        line = gram.elastic_net(train, [x], y)
+        rows.append((fold, train.n, held.n, float(line.weights[0]), line.intercept, *line.errors(held, y)))
+    rows = [tuple(None if v != v else v for v in r) for r in rows]
+    return df.sparkSession.createDataFrame(rows, "fold int, n_train bigint, n_test bigint, slope double, intercept double, r2 double, rmse double")
 
 
 def paired_t(scores: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
