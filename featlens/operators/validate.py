@@ -1,5 +1,6 @@
 """Validation rules the reference documents (D1-D11): k-fold CV, paired t-test,
-Bonferroni, opposing/redundant pair rules, complexity checks, PCA, grid search."""
+Bonferroni, opposing/redundant pair rules, complexity checks. Cross-validation of feature lists, PCA (D10)
+and grid search (D9, D11) work on moment blocks, in ``gram``."""
 
 from __future__ import annotations
 
@@ -80,27 +81,3 @@ def complexity_check(n_rows: DataFrame, n_features: int, train_r2: str = "train_
         (F.col("n_rows") > F.lit(20 * n_features)).alias("enough_rows"),
         (F.col(train_r2) - F.col(test_r2)).alias("gap"),
         ((F.col(train_r2) - F.col(test_r2)) > gap_limit).alias("overfit"))
-
-
-def pca(df: DataFrame, cols: list[str], k: int):
-    """MLlib PCA on assembled columns; returns (model, projected DataFrame)."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.dropna(subset=cols))
-    model = PCA(k=k, inputCol="_v", outputCol="pca").fit(vec)
-    return model, model.transform(vec).drop("_v")
-
-
-def grid_search(train: DataFrame, features: list[str], label: str, reg_params=(0.0, 0.1, 1.0),
-                folds: int = 3, seed: int = 42):
-    """Regularised linear regression tuned by k-fold CrossValidator."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    lr = LinearRegression(labelCol=label, featuresCol="_v")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_v"), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.elasticNetParam, [0.0, 1.0]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"))
-    return cv.fit(train.dropna(subset=features + [label]))

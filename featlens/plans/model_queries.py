@@ -181,14 +181,6 @@ def cv_folds(spark, sf_dir):
     return D.cv_linear(feature_mart(spark, sf_dir, with_key=True), "rk", "bal", TARGET, 5, 42)
 
 
-@register("paired_t")
-def paired_t(spark, sf_dir):
-    m = feature_mart(spark, sf_dir, with_key=True)
-    a = D.cv_linear(m, "rk", "bal", TARGET).select("fold", F.col("r2").alias("r2_bal"))
-    b = D.cv_linear(m, "rk", "price", TARGET).select("fold", F.col("r2").alias("r2_price"))
-    return D.paired_t(a.join(b, "fold"), "r2_price", "r2_bal")
-
-
 @register("corr_significance")
 def corr_significance(spark, sf_dir):
     """D3 on the target correlations: t = r sqrt((n-2)/(1-r^2)), two-sided p, Bonferroni."""
@@ -318,21 +310,6 @@ def workflow(spark, sf_dir):
     return run.comparison
 
 
-@register("pca_components")
-def pca_components(spark, sf_dir):
-    model, proj = D.pca(feature_mart(spark, sf_dir), MART_FEATURES, 3)
-    return proj.select(F.col("pca").cast("string").alias("pca"))
-
-
-@register("grid_search")
-def grid_search(spark, sf_dir):
-    m = feature_mart(spark, sf_dir)
-    cv = D.grid_search(m, [f for f in MART_FEATURES if f != "qty"], TARGET)
-    rows = [(str(p), float(s)) for p, s in zip(
-        [{k.name: v for k, v in pm.items()} for pm in cv.getEstimatorParamMaps()], cv.avgMetrics)]
-    return spark.createDataFrame(rows, "params string, avg_r2 double")
-
-
 @register("valuable_features")
 def valuable_features(spark, sf_dir):
     """Derived features (creation order) that rank among the forest's top importances."""
