@@ -158,31 +158,38 @@ def corr_spearman(spark, sf_dir):
     return assoc.spearman_matrix(feature_mart(spark, sf_dir), SPEARMAN_COLS)
 
 
-KENDALL_COLS = ["qty", "size", "bal"]
+#: Few values first: the column of a pair with fewer values is the one whose ranks are taken bit by bit.
+KENDALL_ORDER = ["tax", "disc", "qty", "size", "load", "bal", "retail", "ototal", "price", "net", "target"]
 
 
-def kendall_sql(cols: list[str]) -> str:
-    """tau-b from (x, y, weight) cells with a cell self-join (exact; cells <= distinct pairs)."""
-    parts = []
+def kendall_sql(cols: list[str], bits: int = 24) -> str:
+    """tau-b from (x, y, weight) cells; discordant weight by the bits of y's dense rank."""
+    cells, diag = [], []
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            cells = (f"SELECT {q(a)} AS x, {q(b)} AS y, count(*) AS w FROM m "
-                     f"WHERE {q(a)} IS NOT NULL AND {q(b)} IS NOT NULL GROUP BY ALL")
-            parts.append(
-                f"SELECT {i} AS i, {j} AS j, '{a}' AS f1, '{b}' AS f2, "
-                "CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN (n0 - n1 - n2 + n3 - 2 * d) / "
-                "sqrt((n0 - n1) * (n0 - n2)) END::DOUBLE AS r, CAST(n AS BIGINT) AS n FROM ("
-                f"SELECT (SELECT sum(w) FROM ({cells})) AS n, "
-                f"(SELECT sum(w) * (sum(w) - 1) / 2 FROM ({cells})) AS n0, "
-                f"(SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT sum(w) AS t FROM ({cells}) GROUP BY x)) AS n1, "
-                f"(SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT sum(w) AS t FROM ({cells}) GROUP BY y)) AS n2, "
-                f"(SELECT coalesce(sum(w * (w - 1) / 2), 0) FROM ({cells})) AS n3, "
-                f"(SELECT coalesce(sum(c1.w * c2.w), 0) FROM ({cells}) c1 JOIN ({cells}) c2 "
-                "ON c1.x < c2.x AND c1.y > c2.y) AS d)")
-    return "\nUNION ALL\n".join(parts)
-
-
-@register("corr_kendall", sql=mart_cte() + kendall_sql(KENDALL_COLS), doubles=["r"])
+        diag.append(f"SELECT {i} AS i, {i} AS j, CASE WHEN max({q(a)}) > min({q(a)}) THEN 1.0 END AS r, count({q(a)}) AS n FROM m")
+        for j, b in enumerate(cols[i + 1:], i + 1):
+            y, x = sorted((a, b), key=KENDALL_ORDER.index)
+            cells.append(f"SELECT {i} AS i, {j} AS j, {q(x)} AS x, {q(y)} AS y, count(*) AS w FROM m WHERE {q(a)} IS NOT NULL AND {q(b)} IS NOT NULL GROUP BY ALL")
+
+    def tied(keys):
+        return f"(SELECT i, j, sum(t * (t - 1) // 2) AS t FROM (SELECT i, j, CAST(sum(w) AS HUGEINT) AS t FROM ce GROUP BY i, j{keys}) GROUP BY i, j)"
+    names = ", ".join(f"({k}, '{c}')" for k, c in enumerate(cols))
+    return (f", ce AS MATERIALIZED ({' UNION ALL '.join(cells)}), "
+            "ra AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY i, j ORDER BY y) - 1 AS k FROM ce), "
+            "to_ AS (SELECT i, j, max(k) AS top FROM ra GROUP BY i, j), "
+            f"bi AS (SELECT ra.i, ra.j, x, b, k >> (b + 1) AS g, sum(w * (k >> b & 1)) AS c1, sum(w * (1 - (k >> b & 1))) AS c0 "
+            f"FROM ra JOIN to_ ON to_.i = ra.i AND to_.j = ra.j JOIN (SELECT unnest(range({bits})) AS b) ON top >> b > 0 GROUP BY ALL), "
+            "di AS (SELECT i, j, sum(CAST(c0 AS HUGEINT) * h) AS d FROM (SELECT i, j, c0, sum(c1) OVER (PARTITION BY i, j, b, g ORDER BY x ROWS UNBOUNDED PRECEDING) - c1 AS h FROM bi) GROUP BY i, j), "
+            f"st AS (SELECT n.i, n.j, n.n, n.t AS n0, a.t AS n1, b.t AS n2, c.t AS n3, coalesce(di.d, 0) AS d FROM (SELECT i, j, sum(w) AS n, CAST(sum(w) AS HUGEINT) * (sum(w) - 1) // 2 AS t FROM ce GROUP BY i, j) n "
+            f"JOIN {tied(', x')} a ON a.i = n.i AND a.j = n.j JOIN {tied(', y')} b ON b.i = n.i AND b.j = n.j JOIN {tied(', x, y')} c ON c.i = n.i AND c.j = n.j "
+            "LEFT JOIN di ON di.i = n.i AND di.j = n.j), "
+            "up AS (SELECT i, j, CASE WHEN n0 > n1 AND n0 > n2 THEN CAST(n0 - n1 - n2 + n3 - 2 * d AS DOUBLE) / sqrt(CAST(n0 - n1 AS DOUBLE)) / sqrt(CAST(n0 - n2 AS DOUBLE)) END AS r, n FROM st), "
+            f"nm(k, name) AS (VALUES {names}) "
+            f"SELECT u.i, u.j, a.name AS f1, b.name AS f2, CAST(r AS DOUBLE) AS r, CAST(n AS BIGINT) AS n FROM (SELECT * FROM up UNION ALL SELECT j, i, r, n FROM up UNION ALL {' UNION ALL '.join(diag)}) u "
+            "JOIN nm a ON a.k = u.i JOIN nm b ON b.k = u.j")
+
+
+@register("corr_kendall", sql=mart_cte().rstrip() + kendall_sql(MART_COLUMNS), doubles=["r"])
 def corr_kendall(spark, sf_dir):
     from featlens.operators.kendall import kendall_matrix
-    return kendall_matrix(feature_mart(spark, sf_dir), KENDALL_COLS)
+    return kendall_matrix(feature_mart(spark, sf_dir), MART_COLUMNS)
