@@ -89,14 +89,50 @@ def _moments_fn(p: int):
     return fn
 
 
-def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Merged pairwise-complete co-moments for every i <= j.
+def _pair_list_fn(p: int, pairs: list[tuple[int, int]]):
+    """The same for a list of pairs: cost and output follow the list, not the square of the columns."""
+    def fn(batches):
+        shift = acc = None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = [np.asarray(b.column(k).to_numpy(zero_copy_only=False), dtype=np.float64) for k in range(p)]
+            there = [~np.isnan(v) for v in x]
+            if shift is None:
+                shift = [float(v[m].mean()) if m.any() else 0.0 for v, m in zip(x, there)]
+                acc = np.zeros((len(pairs), 6))
+                lo, hi = np.full((len(pairs), 2), np.inf), np.full((len(pairs), 2), -np.inf)
+            for k, (i, j) in enumerate(pairs):
+                both = there[i] & there[j]
+                u, v = x[i][both], x[j][both]
+                if len(u):
+                    lo[k] = np.minimum(lo[k], (u.min(), v.min()))
+                    hi[k] = np.maximum(hi[k], (u.max(), v.max()))
+                    u, v = u - shift[i], v - shift[j]
+                    acc[k] += len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v
+        if acc is None:
+            return
+        keep = np.flatnonzero(acc[:, 0])
+        i, j = np.array(pairs)[keep].T if len(keep) else (np.empty(0, int), np.empty(0, int))
+        n, su, sv, suu, svv, suv = acc[keep].T
+        off = np.array(shift)
+        cols = [i.astype(np.int32), j.astype(np.int32), n.astype(np.int64), su / n + off[i], sv / n + off[j],
+                np.maximum(suu - su * su / n, 0.0), np.maximum(svv - sv * sv / n, 0.0), suv - su * sv / n,
+                lo[keep, 0], hi[keep, 0], lo[keep, 1], hi[keep, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_ARROW_MOMENTS)
+
+    return fn
+
+
+def pair_moments(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Merged pairwise-complete co-moments for every i <= j, or for the wanted ``pairs`` of column numbers.
 
     Columns: i, j, n, mean_x, mean_y, cxx, cyy, cxy (centred sums), lox/hix/loy/hiy.
     """
     ensure_checkpoint_dir(df.sparkSession)
     x = df.select([F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(cols)])
-    part = materialize(x.mapInArrow(_moments_fn(len(cols)), MOMENT_SCHEMA))
+    kernel = _moments_fn(len(cols)) if pairs is None else _pair_list_fn(len(cols), list(pairs))
+    part = materialize(x.mapInArrow(kernel, MOMENT_SCHEMA))
     means = part.groupBy("i", "j").agg(
         F.sum("n").alias("_tot"),
         (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
@@ -204,12 +240,12 @@ def spearman_matrix(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFr
     wide = ranked.groupBy("_rid").agg(*[F.max(F.when(F.col("s") == a, rank_of(a, m))).alias(f"_r{si}")
                                         for si, (a, m) in enumerate(specs)])
     rcols = [f"_r{s}" for s in range(len(specs))]
-    rm = pair_moments(wide.select(rcols), rcols).select("i", "j", _r_from_moments().alias("r"), "n")
+    # pair (a, b) reads corr(R[a|b], R[b|a]): p (p - 1) / 2 of the pairs of rank columns
     rows = [(spec_of[(a, mask[b])], spec_of[(b, mask[a])], a, b) for a in range(p) for b in range(a + 1, p)]
-    want = df.sparkSession.createDataFrame(rows, "si int, sj int, i int, j int")   # p^2 rows
-    sym = rm.select(F.col("i").alias("si"), F.col("j").alias("sj"), "r", "n").unionByName(
-        rm.select(F.col("j").alias("si"), F.col("i").alias("sj"), "r", "n"))
-    upper = want.join(sym, ["si", "sj"]).select("i", "j", "r", "n")
+    rm = pair_moments(wide.select(rcols), rcols, [r[:2] for r in rows])
+    want = df.sparkSession.createDataFrame(rows, "si int, sj int, i int, j int")
+    rm = rm.select(F.col("i").alias("si"), F.col("j").alias("sj"), _r_from_moments().alias("r"), "n")
+    upper = want.join(F.broadcast(rm), ["si", "sj"], "left").select("i", "j", "r", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
     diag = df.sparkSession.createDataFrame(
         [(k, k, 1.0 if stats[f"_v{k}"] and stats[f"_n{k}"] >= 2 else None, int(stats[f"_n{k}"])) for k in range(p)],
         "i int, j int, r double, n bigint")

@@ -158,6 +158,12 @@ def corr_spearman(spark, sf_dir):
     return assoc.spearman_matrix(feature_mart(spark, sf_dir), SPEARMAN_COLS)
 
 
+@register("corr_spearman_all", sql=mart_cte() + spearman_sql(MART_COLUMNS), doubles=["r"])
+def corr_spearman_all(spark, sf_dir):
+    """All eleven columns of the mart."""
+    return assoc.spearman_matrix(feature_mart(spark, sf_dir), MART_COLUMNS)
+
+
 #: Few values first: the column of a pair with fewer values is the one whose ranks are taken bit by bit.
 KENDALL_ORDER = ["tax", "disc", "qty", "size", "load", "bal", "retail", "ototal", "price", "net", "target"]
 
