@@ -379,45 +379,6 @@ def feature_importance(model, features: list[str], top: int | None = 15, spark=N
     return df.filter(F.col("rank") <= top) if top else df
 
 
-def t_sf(t: float, dof: int) -> float:
-    """Two-sided p-value of Student's t (regularised incomplete beta, Lentz continued fraction)."""
-    if dof <= 0 or math.isnan(t):
-        return float("nan")
-    if t == 0:
-        return 1.0
-    if math.isinf(t):
-        return 0.0
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-
-    def betacf(a, b, x):
-        tiny, qab, qap, qam = 1e-300, a + b, a + 1.0, a - 1.0
-        c, d = 1.0, 1.0 - qab * x / qap
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 300):
-            m2 = 2 * m
-            aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-            d = 1.0 + aa * d; d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-            h *= d * c
-            aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-            d = 1.0 + aa * d; d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-            de = d * c
-            h *= de
-            if abs(de - 1.0) < 1e-15:
-                break
-        return h
-
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        ib = math.exp(lbeta) * betacf(a, b, x) / a
-    else:
-        ib = 1.0 - math.exp(lbeta) * betacf(b, a, 1 - x) / b
-    return max(0.0, min(1.0, ib))
-
-
 def prepare_data(df: DataFrame, target: str, fit_on: str = "all"):
     """Drop the target from the predictors, median-fill numeric predictors (fit on all
     rows for parity; ``fit_on='train'`` expects an ``is_test`` column), keep numeric columns.

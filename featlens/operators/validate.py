@@ -4,13 +4,12 @@ and grid search (D9, D11) work on moment blocks, in ``gram``."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlens.functions.scalar import strength_band  # noqa: F401 (D6 lives in functions)
-from featlens.operators.model import split_hash, t_sf
+from featlens.functions.student import t_two_sided
+from featlens.operators.model import split_hash
 
 
 def fold_of(key: str, k: int = 5, seed: int = 42):
@@ -36,9 +35,16 @@ def paired_t(scores: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFram
     d = F.col(b) - F.col(a)
     st = scores.agg(F.count(F.lit(1)).alias("k"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"))
     st = st.withColumn("t_stat", F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt(F.col("k"))))
-    row = st.first()                              # one row of k fold scores' summary
-    p = t_sf(row["t_stat"], row["k"] - 1) if row["t_stat"] is not None else float("nan")
-    return st.withColumn("p_value", F.lit(p)).withColumn("significant", F.lit(p < alpha if not math.isnan(p) else False))
+    p = t_two_sided(F.col("t_stat"), F.col("k") - 1)
+    return st.withColumn("p_value", p).withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
+
+
+def correlation_tests(corr: DataFrame, target: str, alpha: float = 0.05) -> DataFrame:
+    """D3 on the target's correlations: ``feature, r, n, t_stat, p_value, threshold, significant``, t = r sqrt((n-2)/(1-r^2))."""
+    tv = corr.filter((F.col("f2") == target) & (F.col("f1") != target))
+    t = tv.withColumn("t_stat", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    t = t.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("n") - 2))
+    return bonferroni(t.select(F.col("f1").alias("feature"), "r", "n", "t_stat", "p_value"), alpha=alpha)
 
 
 def bonferroni(pvalues: DataFrame, p_col: str = "p_value", alpha: float = 0.05) -> DataFrame:

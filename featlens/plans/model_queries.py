@@ -181,16 +181,22 @@ def cv_folds(spark, sf_dir):
     return D.cv_linear(feature_mart(spark, sf_dir, with_key=True), "rk", "bal", TARGET, 5, 42)
 
 
-@register("corr_significance")
+def significance_sql() -> str:
+    """The tail as the finite sums that whole degrees of freedom have (one for odd, one for even ones)."""
+    even = "sin(th) * exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + 2 * k * ln(cos(th)))"
+    odd = "2 / pi() * sin(th) * exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5) - ln(2) + (2 * k + 1) * ln(cos(th)))"
+    return (matrix_cte() + ", tv AS (SELECT f1 AS feature, r, n, r * sqrt((n - 2) / (1 - r * r)) AS t_stat FROM c WHERE f2 = 'target' AND f1 <> 'target'), "
+            "an AS (SELECT *, n - 2 AS d, atan(abs(t_stat) / sqrt(n - 2)) AS th FROM tv), "
+            f"su AS (SELECT feature, sum(CASE WHEN d % 2 = 0 THEN {even} ELSE {odd} END) AS s "
+            "FROM (SELECT *, unnest(range(CASE WHEN d % 2 = 0 THEN d // 2 ELSE (d - 1) // 2 END)) AS k FROM an) GROUP BY feature), "
+            "pv AS (SELECT an.*, greatest(0, 1 - (CASE WHEN d % 2 = 0 THEN s ELSE 2 / pi() * th + s END)) AS p_value FROM an JOIN su USING (feature)) "
+            "SELECT feature, r, n, t_stat, p_value, 0.05 / count(*) OVER () AS threshold, p_value < 0.05 / count(*) OVER () AS significant FROM pv")
+
+
+@register("corr_significance", sql=significance_sql(), doubles=["r", "t_stat", "p_value", "threshold"])
 def corr_significance(spark, sf_dir):
     """D3 on the target correlations: t = r sqrt((n-2)/(1-r^2)), two-sided p, Bonferroni."""
-    from featlens.functions.pandas_udfs import t_pvalue as p_of
-
-    corr = mart_corr(spark, sf_dir)
-    tv = corr.filter((F.col("f2") == TARGET) & (F.col("f1") != TARGET))
-    t = tv.withColumn("t_stat", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
-    p = t.withColumn("p_value", p_of("t_stat", F.col("n") - 2))
-    return D.bonferroni(p.select(F.col("f1").alias("feature"), "r", "n", "t_stat", "p_value"))
+    return D.correlation_tests(mart_corr(spark, sf_dir), TARGET)
 
 
 @register("opposing_pairs",

@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from featlens.functions.student import t_two_sided
 from featlens.operators import model as T, validate as D
 
 
@@ -46,9 +49,26 @@ def test_classification_metrics_zero_division(spark):
     assert abs(m["accuracy"] - 2 / 3) < 1e-12 and abs(m["precision"] - (2 / 3) * (2 / 3)) < 1e-12
 
 
-def test_t_distribution():
-    assert abs(T.t_sf(2.0, 10) - 0.07338803477074) < 1e-9
-    assert abs(T.t_sf(0.0, 5) - 1.0) < 1e-12
+def exact_tail(t, d):
+    """The finite sums that the two-sided tail has for whole degrees of freedom."""
+    th, total = math.atan(t / math.sqrt(d)), 0.0
+    term = math.sin(th) if d % 2 == 0 else math.sin(th) * math.cos(th) * 2 / math.pi
+    for k in range(d // 2 if d % 2 == 0 else (d - 1) // 2):
+        total += term
+        term *= math.cos(th) ** 2 * ((2 * k + 1) / (2 * k + 2) if d % 2 == 0 else (2 * k + 2) / (2 * k + 3))
+    return 1 - total - (0 if d % 2 == 0 else 2 / math.pi * th)
+
+
+def test_t_distribution(spark):
+    rows = [(t, d) for t in (0.0, 1e-9, 0.3, 1.0, 1.96, 2.0, 3.3, 7.0, 13.9, 14.1, 60.0, 1e9) for d in (1, 2, 3, 4, 5, 10, 30, 101, 196, 1000, 51383)]
+    df = spark.createDataFrame(rows, "t double, d bigint")
+    for r in df.select("t", "d", t_two_sided(F.col("t"), F.col("d")).alias("p"), t_two_sided(-F.col("t"), F.col("d")).alias("q")).collect():
+        assert abs(r.p - exact_tail(r.t, r.d)) < 1e-10 and r.p == r.q, r
+    odd = spark.createDataFrame([(None, 3), (float("nan"), 3), (2.0, 0), (2.0, None), (float("inf"), 3)], "t double, d bigint")
+    assert [r[0] for r in odd.select(t_two_sided(F.col("t"), F.col("d"))).collect()] == [None, None, None, None, 0.0]
+    far = spark.createDataFrame([(1e6, 2)], "t double, d bigint").select(t_two_sided(F.col("t"), F.col("d"))).first()[0]
+    root = math.sqrt(2 + 1e12)      # small tails keep their digits
+    assert abs(far / (2 / (root * (root + 1e6))) - 1) < 1e-9
 
 
 def test_ols_r2_closed_form(spark):
