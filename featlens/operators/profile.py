@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType,
-                               LongType, ShortType, StringType, TimestampType)
+                               LongType, ShortType, StringType, TimestampNTZType, TimestampType)
 
 from featlens.functions.scalar import is_missing, is_numeric_type, nan_to_null
 from featlens.operators.quantiles import quantile_long
@@ -15,7 +15,7 @@ from featlens.operators.quantiles import quantile_long
 PANDAS_DTYPE = {
     DoubleType: "float64", FloatType: "float32", LongType: "int64", IntegerType: "int32",
     ShortType: "int16", ByteType: "int8", StringType: "object", BooleanType: "bool",
-    TimestampType: "datetime64[us]", DateType: "object",
+    TimestampType: "datetime64[us]", TimestampNTZType: "datetime64[us]", DateType: "object",
 }
 
 
