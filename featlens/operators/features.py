@@ -9,6 +9,8 @@ collecting a handful of per-feature scalars.
 
 from __future__ import annotations
 
+import bisect
+import warnings
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from featlens.functions.scalar import is_numeric_type, nan_to_null
 from featlens.operators.quantiles import quantile_long
+from featlens.operators.ranking import ordered_cells
 from featlens.operators.selection import order_quantiles
 from featlens.session import materialize
 
@@ -210,51 +213,104 @@ def create_binned_features(df: DataFrame, features: list[str], n_bins: int = 5,
     if strategy == "quantile":
         for f, _, value in order_quantiles(df, ok, [k / n_bins for k in range(n_bins + 1)]):
             edges.setdefault(f, []).append(value)
-    for f in ok:
-        _, lo, hi = checks[f]
-        if strategy == "uniform":
+    elif strategy == "uniform":
+        for f in ok:
+            _, lo, hi = checks[f]
             edges[f] = [lo + (hi - lo) * i / n_bins for i in range(n_bins)] + [hi]
-        elif strategy == "kmeans":
-            edges[f] = kmeans_edges(df, f, n_bins, lo, hi, max_iter=kmeans_iter)
+    else:
+        edges = kmeans_edges_of(df, ok, n_bins, {f: checks[f][1:] for f in ok}, kmeans_iter)
     new = {f"{f}_BIN{n_bins}": _bin_by_edges(F.col(f).cast("double"), edges[f]) for f in ok}
     if log is not None:
         log.created.extend(new)
     return df.withColumns(new)
 
 
-def kmeans_edges(df: DataFrame, feature: str, n_bins: int, lo: float, hi: float,
-                 max_iter: int = 300, tol: float = 1e-4) -> list[float]:
-    """Lloyd iterations on the weighted distinct values, centres initialised at the
-    midpoints of ``n_bins`` uniform intervals; edges = [min, midpoints of sorted centres, max].
+#: Stretches of a feature's sorted distinct values of which the driver knows the sums (a feature with fewer values: each one).
+KMEANS_STRETCHES = 4096
+
 
-    Each iteration is one aggregate over the (value, count) cells, which are checkpointed
-    once; only the ``n_bins`` centres travel to the driver.
+def kmeans_edges_of(df: DataFrame, features: list[str], n_bins: int, bounds: dict[str, tuple[float, float]],
+                    max_iter: int = 300, tol: float = 1e-4, stretches: int = KMEANS_STRETCHES) -> dict[str, list[float]]:
+    """G15 for all features at once: Lloyd's rounds on sorted distinct values, centres first at the middles of
+    ``n_bins`` uniform intervals; edges = [min, middles of the centres, max].
+
+    One pass over the data writes, per feature, the distinct values with the running sums of their weights and of
+    weight x value. A cluster is the stretch between two middles, so a round needs the running sums at
+    ``n_bins - 1`` places. The sums at the start of every stretch of values are with the driver; a place inside a
+    stretch is looked up in that stretch, for all features in one job. A value at a middle belongs to the lower centre;
+    a centre without values stays. Rounds end when the centres move by ``tol`` times the variance or less
+    (squared, in all); a warning is given if ``max_iter`` rounds don't suffice.
     """
-    x = F.col(feature).cast("double")
-    cells = (df.select(x.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-             )
-    cells = materialize(cells)
-    stats = cells.agg((F.sum(F.col("w") * F.col("v") * F.col("v")) / F.sum("w")
-                       - F.pow(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 2)).alias("var")).first()
-    eps = tol * max(stats["var"] or 0.0, 0.0)
-    uni = [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
-    centers = [(uni[i] + uni[i + 1]) / 2 for i in range(n_bins)]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)])).alias("e")).select("e.f", "e.v")
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    cells = materialize(ordered_cells(long, "v", ["f"], extra_sums={"wv": F.col("v"), "wvv": F.col("v") * F.col("v")}))
+    totals = {r["f"]: r for r in cells.groupBy("f").agg(F.sum("cnt").alias("w"), F.sum("wv").alias("wv"), F.sum("wvv").alias("wvv"), F.count(F.lit(1)).alias("m")).collect()}
+    size = {k: -(-r["m"] // stretches) for k, r in totals.items()}
+    length = F.lit(1)
+    for k, n in size.items():
+        length = F.when(F.col("f") == k, n).otherwise(length)
+    placed = cells.withColumn("b", F.col("dense_before").cast("bigint") - F.pmod(F.col("dense_before"), length))
+    index: dict[int, list] = {k: [] for k in totals}
+    for r in placed.groupBy("f", "b").agg(F.min("v").alias("v"), F.min("before").alias("w"), F.min_by("wv_before", "v").alias("wv")).orderBy("f", "b").collect():
+        index[r["f"]].append((r["v"], r["b"], float(r["w"]), float(r["wv"])))
+
+    centers, eps = {}, {}
+    for k, r in totals.items():
+        lo, hi = map(float, bounds[features[k]])
+        uni = [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
+        centers[k] = [(uni[i] + uni[i + 1]) / 2 for i in range(n_bins)]
+        eps[k] = tol * max(r["wvv"] / r["w"] - (r["wv"] / r["w"]) ** 2, 0.0)
+    moving = set(centers)
     for _ in range(max_iter):
-        carr = F.array(*[F.lit(float(c)) for c in centers])
-        dist = F.transform(carr, lambda c: F.abs(F.col("v") - c))
-        label = F.array_position(dist, F.array_min(dist)) - 1
-        agg = (cells.withColumn("_l", label).groupBy("_l")
-               .agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("c")).collect())
-        new = list(centers)
-        for r in agg:
-            new[int(r["_l"])] = r["c"]
-        shift = sum((a - b) ** 2 for a, b in zip(new, centers))
-        centers = new
-        if shift <= eps:
+        if not moving:
             break
-    centers = sorted(centers)
-    mids = [(centers[i] + centers[i + 1]) / 2 for i in range(n_bins - 1)]
-    return [lo, *mids, hi]
+        middles = {k: [(a + b) / 2 for a, b in zip(centers[k], centers[k][1:])] for k in moving}
+        sums = _running_sums(placed, index, size, totals, middles)
+        for k in list(moving):
+            ends = [(0.0, 0.0), *sums[k], (float(totals[k]["w"]), float(totals[k]["wv"]))]
+            new = [(v1 - v0) / (w1 - w0) if w1 > w0 else c for (w0, v0), (w1, v1), c in zip(ends, ends[1:], centers[k])]
+            shift = sum((x - y) ** 2 for x, y in zip(new, centers[k]))
+            centers[k] = new
+            if shift <= eps[k]:
+                moving.discard(k)
+    if moving:
+        warnings.warn(f"k-means bins of {sorted(features[k] for k in moving)} still move after {max_iter} rounds", stacklevel=2)
+    out = {}
+    for k, f in enumerate(features):
+        c = sorted(centers.get(k, []))
+        out[f] = [float(bounds[f][0]), *[(a + b) / 2 for a, b in zip(c, c[1:])], float(bounds[f][1])]
+    return out
+
+
+def _running_sums(placed: DataFrame, index: dict, size: dict, totals: dict, places: dict[int, list[float]]) -> dict[int, list[tuple[float, float]]]:
+    """Per feature and place: (weight, weight x value) of the values at or below it."""
+    out = {k: [(0.0, 0.0)] * len(v) for k, v in places.items()}
+    ask = []
+    for k, values in places.items():
+        starts = [r[0] for r in index[k]]
+        for i, x in enumerate(values):
+            at = bisect.bisect_right(starts, x)
+            if at == 0:
+                continue
+            if size[k] == 1:        # every value is a stretch: the sums ahead of the next one
+                out[k][i] = index[k][at][2:] if at < len(starts) else (float(totals[k]["w"]), float(totals[k]["wv"]))
+            else:
+                ask.append((k, i, index[k][at - 1][1], x))
+    if ask:
+        wanted = placed.sparkSession.createDataFrame(ask, "f int, i int, b bigint, x double")
+        some = F.lit(False)         # reaches the scan
+        for k, _, b, _ in ask:
+            some = some | ((F.col("f") == k) & F.col("dense_before").between(b, b + size[k] - 1))
+        hit = placed.where(some).join(F.broadcast(wanted), ["f", "b"]).where("v <= x")
+        for r in hit.groupBy("f", "i").agg(F.max(F.col("before") + F.col("cnt")).alias("w"), F.max_by(F.col("wv_before") + F.col("wv"), "v").alias("wv")).collect():
+            out[r["f"]][r["i"]] = (float(r["w"]), float(r["wv"]))
+    return out
+
+
+def kmeans_edges(df: DataFrame, feature: str, n_bins: int, lo: float, hi: float,
+                 max_iter: int = 300, tol: float = 1e-4) -> list[float]:
+    """G15 for one feature."""
+    return kmeans_edges_of(df, [feature], n_bins, {feature: (lo, hi)}, max_iter, tol)[feature]
 
 
 def quartile_labels(df: DataFrame, feature: str, labels=("Low", "Med-Low", "Med-High", "High"),

@@ -99,7 +99,24 @@ def bin_uniform(spark, sf_dir):
     return out.select("price", "size", "price_BIN5", "size_BIN5")
 
 
-@register("bin_kmeans")
+def _bin_sql_kmeans(cols: list[str], n: int) -> str:
+    """Lloyd's rounds as a recursion over (feature, centres); a value at a middle belongs to the lower centre."""
+    cells = " UNION ALL ".join(f"SELECT {k} AS f, {c} AS v, count(*) AS w FROM m WHERE {c} IS NOT NULL GROUP BY {c}" for k, c in enumerate(cols))
+    middles = "list_transform(range(1, len(c)), lambda i: (c[i] + c[i + 1]) / 2)"
+    bins = ", ".join(f'CAST(len(list_filter((SELECT e FROM ed WHERE f = {k}), lambda x: x <= {c})) AS DOUBLE) AS "{c}_BIN{n}"' for k, c in enumerate(cols))
+    return (mart_cte().rstrip().replace("WITH m AS", "WITH RECURSIVE m AS") + f", ce AS MATERIALIZED ({cells}), "
+            "st AS (SELECT f, min(v) AS lo, max(v) AS hi, 1e-4 * (sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ^ 2) AS eps FROM ce GROUP BY f), "
+            f"km AS (SELECT f, 0 AS t, list_transform(range({n}), lambda i: (lo + (hi - lo) * i / {n} + lo + (hi - lo) * (i + 1) / {n}) / 2) AS c, eps, CAST('inf' AS DOUBLE) AS shift FROM st "
+            "UNION ALL SELECT f, t + 1, nc, eps, list_sum(list_transform(nc, lambda x, i: (x - c[i]) ^ 2)) FROM ("
+            f"SELECT f, t, c, eps, list_transform(c, lambda x, i: coalesce(map_extract(mp, i - 1)[1], x)) AS nc FROM ("
+            "SELECT f, t, c, eps, map_from_entries(list({'k': lab, 'v': mean})) AS mp FROM ("
+            f"SELECT km.f, km.t, km.c, km.eps, len(list_filter({middles}, lambda y: y < v)) AS lab, sum(w * v) / sum(w) AS mean "
+            "FROM km JOIN ce ON ce.f = km.f WHERE km.shift > km.eps AND km.t < 300 GROUP BY ALL) GROUP BY f, t, c, eps))), "
+            f"ed AS (SELECT f, arg_max({middles}, t) AS e FROM km GROUP BY f) "
+            f"SELECT {', '.join(cols)}, {bins} FROM m")
+
+
+@register("bin_kmeans", sql=_bin_sql_kmeans(["size", "price"], 4), doubles=["size", "price", "size_BIN4", "price_BIN4"])
 def bin_kmeans(spark, sf_dir):
     out = G.create_binned_features(mart_table(spark, sf_dir), ["size", "price"], 4, "kmeans")
     return out.select("size", "price", "size_BIN4", "price_BIN4")

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -106,3 +107,23 @@ def test_members_and_derived_tag(spark):
     assert [r["feature"] for r in L.members(df, ids).collect()] == ["c"]
     assert sorted(r["feature"] for r in L.non_members(df, ids).collect()) == ["a_X_b", "d_POW2"]
     assert [r["d"] for r in df.select(is_derived("feature").alias("d")).collect()] == [True, False, True]
+
+
+@pytest.mark.parametrize("stretches", [G.KMEANS_STRETCHES, 7])
+def test_kmeans_of_several_features_equals_lloyd_on_rows(spark, stretches):
+    rng = np.random.default_rng(11)
+    data = {"a": np.r_[rng.normal(-40, 1, 300), rng.normal(9, 3, 200)], "b": rng.integers(0, 30, 500).astype(float), "c": np.r_[np.full(400, 2.0), rng.exponential(50, 100)]}
+    df = spark.createDataFrame([tuple(r) for r in zip(*[x.tolist() for x in data.values()])], "a double, b double, c double")
+    got = G.kmeans_edges_of(df, list(data), 4, {f: (x.min(), x.max()) for f, x in data.items()}, stretches=stretches)
+    for f, x in data.items():
+        uni = np.linspace(x.min(), x.max(), 5)
+        c = (uni[1:] + uni[:-1]) / 2
+        while True:
+            label = np.searchsorted((c[1:] + c[:-1]) / 2, x, side="left")
+            new = np.array([x[label == k].mean() if (label == k).any() else c[k] for k in range(4)])
+            moved, c = ((new - c) ** 2).sum(), new
+            if moved <= 1e-4 * x.var():
+                break
+        assert np.allclose(got[f], [x.min(), *(c[1:] + c[:-1]) / 2, x.max()])
+    with pytest.warns(UserWarning, match="still move"):
+        G.kmeans_edges_of(df, ["a"], 4, {"a": (-45.0, 20.0)}, max_iter=1, tol=0.0)
