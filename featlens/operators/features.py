@@ -313,25 +313,26 @@ def kmeans_edges(df: DataFrame, feature: str, n_bins: int, lo: float, hi: float,
     return kmeans_edges_of(df, [feature], n_bins, {feature: (lo, hi)}, max_iter, tol)[feature]
 
 
-def quartile_labels(df: DataFrame, feature: str, labels=("Low", "Med-Low", "Med-High", "High"),
+def quartile_labels(df: DataFrame, feature: str | list[str], labels=("Low", "Med-Low", "Med-High", "High"),
                     out_col: str | None = None) -> DataFrame:
-    """``qcut(q=4)``: right-closed quartile bins, lowest value included.
+    """``qcut(q=4)``: right-closed quartile bins, lowest value included, for one feature or several (``<feature>_bin``).
 
-    With duplicate edges the remaining bins are labelled by position.
+    With duplicate edges the remaining bins are labelled by position. The edges of all features are selected at once
+    and compared as literals.
     """
-    out_col = out_col or f"{feature}_bin"
-    q = quantile_long(df, [feature], [0.25, 0.5, 0.75])
-    row = q.groupBy().pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    row = row.select(F.col("`0.25`").alias("_q1"), F.col("`0.5`").alias("_q2"), F.col("`0.75`").alias("_q3"))
-    x = F.col(feature)
-    q1, q2, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
-    # position of x among the distinct inner edges
-    k = (F.when(x > q1, 1).otherwise(0) + F.when((x > q2) & (q2 > q1), 1).otherwise(0)
-         + F.when((x > q3) & (q3 > q2), 1).otherwise(0))
-    lab = F.element_at(F.array(*[F.lit(s) for s in labels]), k + 1)
-    return (df.crossJoin(F.broadcast(row))
-            .withColumn(out_col, F.when(x.isNull(), F.lit(None)).otherwise(lab))
-            .drop("_q1", "_q2", "_q3"))
+    features = [feature] if isinstance(feature, str) else list(feature)
+    edges: dict[str, list[float]] = {f: [] for f in features}
+    for f, _, value in order_quantiles(df, features, [0.25, 0.5, 0.75]):
+        edges[f].append(value)
+    new = {}
+    for f in features:
+        x, cuts = F.col(f), [e for i, e in enumerate(edges[f]) if i == 0 or e > edges[f][i - 1]]
+        k = F.lit(0)        # position of x among the distinct inner edges
+        for e in cuts:
+            k = k + F.when(x > F.lit(e), 1).otherwise(0)
+        label = F.element_at(F.array(*[F.lit(s) for s in labels]), k + 1)
+        new[out_col if out_col and len(features) == 1 else f"{f}_bin"] = F.when(x.isNotNull(), label)
+    return df.withColumns(new)
 
 
 def remove_low_variance(df: DataFrame, target: str | None, threshold: float = 0.01) -> DataFrame:

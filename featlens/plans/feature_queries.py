@@ -161,7 +161,7 @@ def _qlabel_sql(c: str) -> str:
           doubles=["mean_value"])
 def quartile_heatmap(spark, sf_dir):
     m = mart_table(spark, sf_dir)
-    b = G.quartile_labels(G.quartile_labels(m, "bal"), "size")
+    b = G.quartile_labels(m, ["bal", "size"])
     return A.group_mean_grid(b, "bal_bin", "size_bin", TARGET)
 
 

@@ -159,7 +159,7 @@ _LABELS = ["Low", "Med-Low", "Med-High", "High"]
           doubles=_LABELS)
 def heatmap_wide(spark, sf_dir):
     """A3: the grid of means in wide form."""
-    b = G.quartile_labels(G.quartile_labels(mart_table(spark, sf_dir), "bal"), "size")
+    b = G.quartile_labels(mart_table(spark, sf_dir), ["bal", "size"])
     return A.pivot_grid(A.group_mean_grid(b, "bal_bin", "size_bin", TARGET), "bal_bin", "size_bin", _LABELS)
 
 
