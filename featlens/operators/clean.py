@@ -193,6 +193,57 @@ def label_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return fit_label(df, columns).transform(df)
 
 
+@dataclass(frozen=True)
+class SparseOneHotModel:
+    """E1 for columns of any number of levels: one sparse vector a row in place of a column a level.
+
+    Levels are numbered where they are (range partitions), the first of each column has no place in the
+    vector, and columns follow each other. ``sizes`` are the numbers of levels, the only figures at the driver."""
+    codes: dict           # column -> DataFrame(level string, code bigint)
+    sizes: dict           # column -> number of levels
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        for k, (c, levels) in enumerate(self.codes.items()):
+            known = levels.select(F.col("level").alias(f"_lv_{k}"), F.col("code").alias(f"_code_{k}"))
+            # no hint: Catalyst broadcasts a small level table and sort-merges a large one
+            df = df.join(known, F.col(c).cast("string") == F.col(f"_lv_{k}"), "left").drop(f"_lv_{k}")
+        return df
+
+    def transform(self, df: DataFrame, out: str = "onehot") -> DataFrame:
+        """``df`` without the encoded columns, with ``out``: ``struct<size, indices, values>``, indices ascending.
+        NULL, unknown and first levels have no entry."""
+        kept = [c for c in df.columns if c not in self.codes]
+        places, start = [], 0
+        for k, c in enumerate(self.codes):
+            code = F.col(f"_code_{k}")
+            places.append(F.when(code > 0, (code + (start - 1)).cast("int")))
+            start += max(self.sizes[c] - 1, 0)
+        at = F.array_compact(F.array(*places)) if places else F.array().cast("array<int>")
+        vector = F.struct(F.lit(start).alias("size"), at.alias("indices"), F.transform(at, lambda _: F.lit(1.0)).alias("values"))
+        return self._numbered(df).select(*kept, vector.alias(out))
+
+    def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """The same as a sparse vector of the learning library."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        kept = [c for c in df.columns if c not in self.codes]
+        d, names = self._numbered(df), []
+        for k, c in enumerate(self.codes):
+            n, code = max(self.sizes[c], 2), F.col(f"_code_{k}")
+            # the encoder leaves out the last category: rows without an entry go there; with the number of categories named it scans nothing
+            place = F.when(code > 0, code - 1).otherwise(n - 1).cast("double")
+            d = d.withColumn(f"_at_{k}", place.alias(f"_at_{k}", metadata={"ml_attr": {"type": "nominal", "name": f"_at_{k}", "num_vals": n}}))
+            names.append(f"_at_{k}")
+        d = OneHotEncoder(inputCols=names, outputCols=[f"_v{x}" for x in names], dropLast=True).fit(d).transform(d)
+        return VectorAssembler(inputCols=[f"_v{x}" for x in names], outputCol=out).transform(d).select(*kept, out)
+
+
+def fit_onehot_sparse(df: DataFrame, columns: list[str] | None = None) -> SparseOneHotModel:
+    """E1 fit: the sorted levels of every column with their numbers, in written tables."""
+    cols = categorical_columns(df) if columns is None else list(columns)
+    codes = {c: materialize(_numbered_levels(df.select(F.col(c).cast("string").alias("level")).where("level is not null").distinct())) for c in cols}
+    return SparseOneHotModel(codes, {c: t.count() for c, t in codes.items()})
+
+
 def encode_categorical(df: DataFrame, columns: list[str] | None = None, method: str = "onehot") -> DataFrame:
     """E1/E2 dispatcher; no categorical columns -> unchanged."""
     if method == "onehot":

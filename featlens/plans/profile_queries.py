@@ -173,6 +173,21 @@ def onehot(spark, sf_dir):
     return clean.onehot(table(spark, sf_dir, "customer"), ["c_mktsegment"])
 
 
+@register("onehot_sparse",
+          sql="WITH c AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS a, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS b FROM customer), "
+              "n AS (SELECT max(a) AS na, max(b) AS nb FROM c) SELECT c_custkey, CAST(na + nb AS INTEGER) AS size, "
+              "CAST(CASE WHEN a > 0 THEN a - 1 END AS INTEGER) AS name_at, CAST(CASE WHEN b > 0 THEN na + b - 1 END AS INTEGER) AS segment_at FROM c, n")
+def onehot_sparse(spark, sf_dir):
+    """E1 with a level for every customer: one sparse vector of both columns."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    model = clean.fit_onehot_sparse(c, ["c_name", "c_mktsegment"])
+    names = model.sizes["c_name"] - 1
+    v = model.transform(c).select("c_custkey", F.col("onehot.size").alias("size"), F.col("onehot.indices").alias("at"))
+    first = F.filter("at", lambda x: x < names)
+    last = F.filter("at", lambda x: x >= names)
+    return v.select("c_custkey", "size", F.get(first, 0).alias("name_at"), F.get(last, 0).alias("segment_at"))
+
+
 @register("label_encode",
           sql=EV_SQL + "SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY coalesce(event_type, 'nan')) - 1 "
                        "AS BIGINT) AS event_type, value FROM ev",
