@@ -78,15 +78,20 @@ def fit_imputer(df: DataFrame, strategy: str = "median", columns: list[str] | No
     return ImputerModel(strategy, cols, fill)
 
 
-def _mode_row(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M3: most frequent value per column, smallest value on ties; two partial aggregations
-    per column, no per-column sort of all distinct values into one task."""
+def _mode_row(df: DataFrame, cols: list[str], together: int = 32) -> DataFrame:
+    """M3: most frequent value per column, smallest value on ties: one scan counts the values of ``together``
+    columns as grouping sets, and one aggregate takes the best cell of each; no join, no sort of all values into one task."""
     row = None
-    for k, c in enumerate(cols):
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        top = counts.agg(F.max("_n").alias("_top"))
-        pick = (counts.crossJoin(F.broadcast(top)).filter(F.col("_n") == F.col("_top"))
-                .agg(F.min(c).alias(f"_fill_{k}")))
+    for start in range(0, len(cols), together):
+        some = cols[start:start + together]
+        d = df.select([F.col(f"`{c}`").alias(f"_m{start + k}") for k, c in enumerate(some)])
+        counts = d.groupingSets([[F.col(c)] for c in d.columns], *d.columns).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
+        best = []
+        for k, c in enumerate(d.columns):
+            own = ((1 << len(some)) - 1) ^ (1 << len(some) - 1 - k)         # the bit of a column that is grouped by is 0
+            cell = F.when((F.col("_g") == own) & F.col(c).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v")))
+            best.append(F.min(cell).getField("v").alias(f"_fill_{start + k}"))
+        pick = counts.agg(*best)
         row = pick if row is None else row.crossJoin(pick)
     return row
 

@@ -20,6 +20,7 @@ from featlens.functions.scalar import pct_change, verdict
 from featlens.operators.assoc import pair_moments
 from featlens.operators.ranking import average_rank
 from featlens.operators.selection import hash_threshold, hash_thresholds
+from featlens.session import materialize
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
@@ -112,14 +113,27 @@ def fit_scaler(train: DataFrame, features: list[str]) -> ScalerModel:
 
 # ---------------------------------------------------------------- metrics
 
+def _regression_sums(y: Column, p: Column, tag: str = "") -> tuple[list[Column], list[Column]]:
+    """(aggregates, metrics from them) of R^2, RMSE and MAE."""
+    n, sse = F.col(f"_n{tag}"), F.col(f"_sse{tag}")
+    sums = [F.sum((y - p) * (y - p)).alias(f"_sse{tag}"), F.var_pop(y).alias(f"_vy{tag}"), F.count(F.lit(1)).alias(f"_n{tag}"), F.avg(F.abs(y - p)).alias(f"_mae{tag}")]
+    return sums, [(F.lit(1.0) - F.try_divide(sse, F.col(f"_vy{tag}") * n)).alias("r2"), F.sqrt(sse / n).alias("rmse"), F.col(f"_mae{tag}").alias("mae")]
+
+
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """R^2, RMSE, MAE."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    stats = pred.agg(F.sum((y - p) * (y - p)).alias("_sse"), F.var_pop(y).alias("_vy"),
-                     F.count(F.lit(1)).alias("_n"), F.avg(F.abs(y - p)).alias("mae"))
-    return stats.select(
-        (F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("_n"))).alias("r2"),
-        F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"), "mae")
+    sums, metrics = _regression_sums(F.col(label).cast("double"), F.col(prediction).cast("double"))
+    return pred.agg(*sums).select(metrics)
+
+
+def regression_metrics_of(pred: DataFrame, label: str, predictions: list[str]) -> list[DataFrame]:
+    """T10 for several predictions of one table: one scan, one row of sums, then a table of metrics each."""
+    y, sums, metrics = F.col(label).cast("double"), [], []
+    for k, p in enumerate(predictions):
+        s, m = _regression_sums(y, F.col(p).cast("double"), str(k))
+        sums, metrics = sums + s, metrics + [m]
+    row = materialize(pred.agg(*sums))
+    return [row.select(m) for m in metrics]
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -421,7 +435,6 @@ def baseline_and_enhanced(df: DataFrame, key: str, target: str, task: str, pairs
     same test rows. ``key`` only names the rows and is no predictor. With ``save_to`` both models are saved.
     """
     from featlens.operators.features import create_interactions
-    from featlens.session import materialize
     from featlens.sources.sinks import save_models
     cut = (exact_split(df, key, test_size, seed) if task == "regression"
            else stratified_split(df, key, target, test_size, seed))

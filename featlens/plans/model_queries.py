@@ -143,7 +143,7 @@ COMPARE_SQL = (SCORED.format(cte=mart_cte().rstrip())
                    "improvement_pct"])
 def compare_models(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    cmp = T.compare_models(T.regression_metrics(s, "label", "p_base"), T.regression_metrics(s, "label", "p_enh"))
+    cmp = T.compare_models(*T.regression_metrics_of(s, "label", ["p_base", "p_enh"]))
     return cmp.withColumn("recommendation", recommendation_band("improvement_pct"))
 
 
@@ -155,7 +155,7 @@ def compare_models(spark, sf_dir):
           doubles=["baseline", "enhanced", "delta"])
 def metric_delta(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return T.metric_delta(T.regression_metrics(s, "label", "p_base"), T.regression_metrics(s, "label", "p_enh"))
+    return T.metric_delta(*T.regression_metrics_of(s, "label", ["p_base", "p_enh"]))
 
 
 def _cv_sql(x: str) -> str:

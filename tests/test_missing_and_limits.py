@@ -61,3 +61,13 @@ def test_numbers_in_text(spark):
     rows = ["12d", "7F", "0x1p3", " 12 ", "-1.5e3", ".5", "5.", "", "1,0", None]
     got = [r.v for r in spark.createDataFrame([(r,) for r in rows], "s string").select(coerce_numeric("s").alias("v")).collect()]
     assert got == [None, None, None, 12.0, -1500.0, 0.5, 5.0, None, None, None]
+
+
+def test_mode_of_one_and_of_many_columns(spark):
+    rows = [(i % 3, None if i % 4 else "b" if i % 8 else "a", float(i // 2 % 5) if i % 2 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    want = [max(sorted({v for v in col if v is not None}), key=[v for v in col if v is not None].count) for col in zip(*rows)]
+    for together in (32, 2, 1):
+        assert list(clean._mode_row(df, ["a", "b", "c"], together).first()) == want
+    assert list(clean._mode_row(df.select("b"), ["b"]).first()) == want[1:2]
+    assert list(clean._mode_row(df.where("false"), ["a", "c"]).first()) == [None, None]
