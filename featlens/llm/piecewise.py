@@ -4,8 +4,13 @@ A text is written with its spaces as U+2581, one put in front; since no piece ha
 another character, the words before each run of it are independent. The distinct new words of a batch
 are laid out in one flat array of symbols. In every round each word merges its pair of the best rank, all
 its leftmost occurrences at once, and the array is compacted; a word without a pair leaves. Where a merge
-could make a pair of a better rank, or different pieces share a rank, only the leftmost occurrence is
-merged in a round, which is the order in which the library works.
+could make a pair of a better rank, or different pieces share a rank, an occurrence waits for those
+shortly before it, which is the order in which the library works.
+
+A long word is not one unit but stretches of twice the longest piece: a merge can only change what lies
+within a piece's length of it, so a stretch merges its best pair as soon as neither neighbour has a better one, and
+leaves when neither it nor its neighbours have a pair. A long word then takes no more rounds than its stretches need.
+Only texts such as ``hahaha``, whose repeated pair must wait for the one before it, still take a round an occurrence.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. Characters without a
 piece become byte pieces. Models that normalise text, strip white space, or hold user-defined or unused
@@ -76,6 +81,7 @@ class Vocabulary:
     pair_merged: np.ndarray = field(default=None, repr=False)
     rank: np.ndarray = field(default=None, repr=False)
     alone: np.ndarray = field(default=None, repr=False)  # symbols whose merge must be the only one of its word in a round
+    longest: int = 1  # code points of the longest piece
     touching: np.ndarray = field(default=None, repr=False)  # pairs of characters that stand side by side in some piece
     block: int = 0
 
@@ -111,6 +117,7 @@ class Vocabulary:
         for p in number:
             for ch in p:
                 symbols.setdefault(ch, len(self.pieces) + len(symbols))
+        self.longest = max(map(len, number), default=1)
         size = max(symbols.values(), default=0) + 2
         self.rank = np.full(size, _NONE, np.int64)
         self.alone = np.zeros(size, bool)
@@ -164,30 +171,37 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
         word = owner
     merged, rank = _pairs(v, symbol, word, np.arange(len(symbol)))
     done: list[tuple] = []
+    stretch = 2 * v.longest
     while len(symbol):
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        new_word = np.r_[True, word[1:] != word[:-1]]
+        part = at // stretch
+        starts = np.flatnonzero(new_word | np.r_[True, part[1:] != part[:-1]])
         best = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.r_[starts, len(symbol)])
-        best = np.repeat(best, sizes)
-        over = best == _NONE
+        # the best ranks of the stretches on both sides, in the same word
+        opens = new_word[starts]
+        before = np.where(opens, _NONE, np.r_[_NONE, best[:-1]])
+        after = np.where(np.r_[opens[1:], True], _NONE, np.r_[best[1:], _NONE])
+        over = (best == _NONE) & (before == _NONE) & (after == _NONE)
+        leads = (best < _NONE) & (best <= before) & (best <= after)
         if over.any():
-            done.append((word[over], symbol[over], at[over]))
-            left = ~over
-            symbol, word, at, merged, rank, best = symbol[left], word[left], at[left], merged[left], rank[left], best[left]
+            # what lies on both sides of a stretch that leaves can no longer meet
+            word = np.cumsum(new_word | np.repeat(over | np.r_[False, over[:-1]], sizes) & _heads(starts, len(symbol)))
+            left = ~np.repeat(over, sizes)
+            done.append((symbol[~left], at[~left]))
+            symbol, word, at, merged, rank = symbol[left], word[left], at[left], merged[left], rank[left]
+            best, leads, sizes = best[~over], leads[~over], sizes[~over]
             if not len(symbol):
                 break
-        hit = np.flatnonzero(rank == best)
-        # overlapping occurrences follow each other: every second one of a run counts
-        run = np.r_[True, np.diff(hit) > 1]
-        nth = np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-        take = nth % 2 == 0
-        lone = v.alone[merged[hit]]
-        if lone.any():
-            first = np.r_[True, word[hit][1:] != word[hit][:-1]]
-            # a word with such an occurrence merges its first one only
-            has = np.zeros(int(word[-1]) + 1, bool)
-            has[word[hit][lone]] = True
-            take &= first | ~has[word[hit]]
+        of = np.repeat(np.arange(len(best)), sizes)
+        hit = np.flatnonzero((rank == best[of]) & (rank < _NONE))
+        # overlapping occurrences follow each other: every second one of a run counts, if the run's start may merge
+        run = np.r_[True, (np.diff(hit) > 1) | (rank[hit][1:] != rank[hit][:-1])]
+        start = np.flatnonzero(run)[np.cumsum(run) - 1]
+        take = ((np.arange(len(hit)) - start) % 2 == 0) & leads[of[hit[start]]] & leads[of[hit]]
+        # an occurrence that must not meet another's merge waits for those less than a piece before it
+        apart = np.r_[True, (word[hit][1:] != word[hit][:-1]) | (np.diff(at[hit]) >= v.longest) | (rank[hit][1:] != rank[hit][:-1])]
+        take &= apart | ~v.alone[merged[hit]]
         hit = hit[take]
         symbol[hit] = merged[hit]
         alive = np.ones(len(symbol), bool)
@@ -202,8 +216,8 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
         merged[changed], rank[changed] = _pairs(v, symbol, word, changed)
     if not done:
         return np.zeros(len(words), np.int64), np.empty(0, np.int64)
-    word, symbol, at = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(word, kind="stable")
+    symbol, at = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(at)
     symbol, at = symbol[order], at[order]
     word = owner[at]
     strange = symbol >= len(v.pieces)
@@ -218,6 +232,12 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.bincount(word, minlength=len(words)), symbol
 
 
+def _heads(starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[starts] = True
+    return out
+
+
 def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(keys), bool)
