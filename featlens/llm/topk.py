@@ -8,6 +8,8 @@ pruning) or, from ``COSINE`` on, the vectors whose focus coordinates lie in the
 pruning) are verified by exact integer products.
 
 Defined cases: see ``vectors``; zero vectors take part (score 0); fewer than k candidates give fewer rows.
+Vectors whose integer product with themselves passes 64 bits (length 2^31.5, components of some 10^7) take no part:
+the scores of all others then fit a long.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ SCALE = 256
 COSINE, FOCUS = 0.7, 4
 #: Products are taken in double precision while every partial sum is an exact integer, else in Python integers.
 EXACT = 2.0 ** 52
+#: Integer vectors this long or longer are left out: no product of shorter ones passes 64 bits.
+LONGEST = 2.0 ** 31.5 * (1 - 1e-9)
 
 
 def integers(df: DataFrame) -> DataFrame:
     """vec_id, v (whole numbers as double), dim, norm."""
     d = V.usable(df).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
-    return d.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    return d.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).where(F.col("norm") < LONGEST)
 
 
 def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
