@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from featlens.session import owned_tables
+
 
 @dataclass
 class Entry:
@@ -65,5 +67,11 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: bind(e) for k, e in REGISTRY.items()}
 
 
+def write_query(name: str, spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Runs a registered query, writes its result as Parquet and removes the tables it wrote on the way."""
+    with owned_tables(spark):
+        spark_queries()[name](spark, sf_dir).write.parquet(path)
+
+
 def oracle_queries() -> dict[str, str]:
     return {k: wrap_sql(e.sql, e.doubles) for k, e in REGISTRY.items() if e.sql is not None}

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,13 +61,78 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder (HDFS/S3/ABFS) for checkpoints")
 
 
-def materialize(df):
+class OwnedTables:
+    """The tables that ``materialize`` wrote inside one ``owned_tables`` block."""
+
+    def __init__(self, spark: SparkSession, outer: OwnedTables | None):
+        self.spark, self.outer = spark, outer
+        self.paths: list[str] = []
+        self._plans: dict[int, list] = {}   # hash of a plan -> [(frame, the table it was written to)]
+
+    def written(self, df: DataFrame) -> DataFrame | None:
+        """The table of a frame with the same plan, if this block or one around it has it."""
+        for plan, table in self._plans.get(df.semanticHash(), ()):
+            if plan.sameSemantics(df):
+                return table
+        return self.outer.written(df) if self.outer else None
+
+    def add(self, df: DataFrame, table: DataFrame) -> None:
+        self._plans.setdefault(df.semanticHash(), []).append((df, table))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that outlives this block: it belongs to the block around it, or to nobody."""
+        token = _OWNER.set(self.outer)
+        try:
+            return materialize(df)
+        finally:
+            _OWNER.reset(token)
+
+    def release(self) -> None:
+        """Removes the tables from the shared folder (also one whose write failed)."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        self._plans.clear()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+_OWNER: ContextVar[OwnedTables | None] = ContextVar("owned_tables", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession):
+    """Intermediate tables written inside the block are removed at its end, whether it ends well or not.
+
+    Frames are lazy: what is to outlive the block has to be written inside it, by a sink or with ``keep``. Frames
+    with equal plans are written once. A plan says where it reads, not what lies there, so don't overwrite a
+    path and read it again inside one block. Blocks nest; each owns what was written while it was the innermost.
+    """
+    owner = OwnedTables(spark, _OWNER.get())
+    token = _OWNER.set(owner)
+    try:
+        yield owner
+    finally:
+        _OWNER.reset(token)
+        owner.release()
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a parquet table under ``spark.checkpoint.dir`` (the
     shared folder) and reading it back: survives executor loss, is columnar (faster than
-    ``Dataset.checkpoint``'s row serialisation), and lets several branches share one result."""
-    import uuid
+    ``Dataset.checkpoint``'s row serialisation), and lets several branches share one result.
+
+    Inside ``owned_tables`` the table is removed at the block's end, else it stays."""
     spark = df.sparkSession
+    owner = _OWNER.get()
+    found = owner.written(df) if owner else None
+    if found is not None:
+        return found
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/featlens-{uuid.uuid4().hex}"
+    if owner:
+        owner.paths.append(path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    if owner:
+        owner.add(df, table)
+    return table
