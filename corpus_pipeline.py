@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from featlens.llm import jaccard, mix, pii, piecewise, toxicity
 from featlens.llm.common import table
 from featlens.llm.queries import PIECES, vocabulary
-from featlens.session import ensure_checkpoint_dir
+from featlens.session import ensure_checkpoint_dir, owned_tables
 
 #: SQL cannot fit the stages' models.
 ORACLE_SQL = None
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with owned_tables(spark):  # what a stage writes on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs
