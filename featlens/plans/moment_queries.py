@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from featlens.operators import features as G, gram, validate as D
 from featlens.operators.clean import impute
 from featlens.plans.assoc_queries import mart_cte
-from featlens.plans.mart import MART_FEATURES, TARGET, feature_mart
+from featlens.plans.mart import MART_FEATURES, TARGET, feature_mart, mart_table
 from featlens.plans.registry import register
 
 PRODUCT = "qty_X_size"
@@ -18,7 +18,7 @@ PRODUCT = "qty_X_size"
 
 def filled_mart(spark, sf_dir):
     """The mart with its row key, gaps filled by the median."""
-    return impute(feature_mart(spark, sf_dir, with_key=True), "median", ["qty"])
+    return impute(mart_table(spark, sf_dir, with_key=True), "median", ["qty"])
 
 
 def filled_cte(folds: int) -> str:
