@@ -33,18 +33,20 @@ from featlens.session import ensure_checkpoint_dir
 END = 0
 SAMPLE, DICTIONARY_BYTES, LEVEL = 512, 64 << 10, 3
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
-#: Pieces that a worker remembers (results don't depend on it).
-_MOST_PIECES = 1_000_000
+#: Pieces that a worker remembers (results don't depend on it), and pieces that it hands over as one text.
+_MOST_PIECES, _JOINED = 1_000_000, 1024
 #: A space before a non-space always begins a new pre-token of a byte-level BPE, so a text may be cut there.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|\Z)")
 
 
 class Tokenizer(dict):
-    """``tokenizers`` on the distinct space-led pieces of the texts, remembered within a task.
+    """``tokenizers`` on the distinct space-led pieces of the texts, remembered within a worker (``kept``).
 
-    As a dictionary it numbers the pieces. New pieces are handed over many at a time, with the special token
-    between them: the library splits there first, so each piece is encoded as if it stood alone.
+    As a dictionary it numbers the pieces. New pieces are handed over many at a time. Those of a space and no other
+    space follow one another as they would in a text: each begins a pre-token, and its first token, alone of its
+    tokens, begins with the space. Between the others stands the special token: the library splits there first, so each
+    piece is encoded as if it stood alone.
     """
 
     def __init__(self, path: str):
@@ -55,6 +57,10 @@ class Tokenizer(dict):
         self.size = self.t.get_vocab_size(with_added_tokens=True)
         special = self.t.get_added_tokens_decoder()
         self.mark, self.text = next(((i, x.content) for i, x in special.items() if x.special and not (x.lstrip or x.rstrip)), (None, None))
+        space = next((x for x, i in self.t.get_vocab(with_added_tokens=False).items() if self.t.decode([i]) == " "), None)
+        self.spaced = np.zeros(self.size, bool)  # the tokens that begin with a space
+        if space and not any(x.lstrip or x.rstrip for x in special.values()):
+            self.spaced[[i for x, i in self.t.get_vocab(with_added_tokens=False).items() if x.startswith(space)]] = True
         self.batch = getattr(self.t, "encode_batch_fast", self.t.encode_batch)
         self._forget()
 
@@ -72,23 +78,50 @@ class Tokenizer(dict):
     def _learn(self):
         # a piece with the NUL in front came first in a text
         new = [p[1:] if p[:1] == "\0" else " " + p for p in self.new]
+        plain = np.fromiter((p[:1] != "\0" and " " not in p and "\u180e" not in p for p in self.new), bool, len(new))
         self.new = []
-        if self.mark is None or any(self.text in p for p in new):
-            ids = [np.array(g.ids, np.int32) for g in self.batch(new, add_special_tokens=False)]
-            counts, flat = [len(x) for x in ids], np.concatenate(ids)
-        else:
-            joined = [self.text.join(new[i:i + 64]) + self.text for i in range(0, len(new), 64)]
-            flat = np.concatenate([np.array(g.ids, np.int32) for g in self.batch(joined, add_special_tokens=False)])
-            ends = np.flatnonzero(flat == self.mark)
-            counts = np.diff(np.r_[-1, ends]) - 1
-            flat = np.delete(flat, ends)
-        self.counts = np.r_[self.counts, counts].astype(np.int64)
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.cumsum(self.counts) - self.counts
+        counts, flat = np.zeros(len(new), np.int64), [self.flat]
+        for which, encoded in ((plain, self._in_a_row), (~plain, self._apart)):
+            if which.any():
+                at = np.flatnonzero(which)
+                n, ids = encoded([new[i] for i in at])
+                counts[at] = n
+                flat.append(ids)
+        # the ids of the plain ones lie before those of the others
+        starts, order = np.empty(len(new), np.int64), np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        starts[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        self.counts, self.starts = np.r_[self.counts, counts], np.r_[self.starts, starts]
+        self.flat = np.concatenate(flat)
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(g.ids, np.int32) for g in self.batch(texts, add_special_tokens=False)])
+
+    def _in_a_row(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = self._ids(["".join(pieces[i:i + _JOINED]) for i in range(0, len(pieces), _JOINED)])
+        starts = np.flatnonzero(self.spaced[flat])
+        if len(starts) != len(pieces) or starts[0]:  # not a vocabulary of this kind
+            return self._apart(pieces)
+        return np.diff(np.r_[starts, len(flat)]), flat
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [self.text.join(pieces[i:i + _JOINED]) + self.text for i in range(0, len(pieces), _JOINED)] if self.mark is not None else []
+        if self.mark is None or sum(t.count(self.text) for t in joined) != len(pieces):  # no mark, or a piece holds it
+            ids = [np.array(g.ids, np.int32) for g in self.batch(pieces, add_special_tokens=False)]
+            return np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
+        flat = self._ids(joined)
+        ends = np.flatnonzero(flat == self.mark)
+        return np.diff(np.r_[-1, ends]) - 1, np.delete(flat, ends)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self) > _MOST_PIECES:
             self._forget()
+        try:
+            return self._encode(texts)
+        except BaseException:
+            self._forget()  # pieces may have a number, but no ids yet
+            raise
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         rows = []
         for t in texts:
             if not t or "\0" in t:  # with a NUL in the text, the mark of a first piece isn't unique
@@ -111,6 +144,17 @@ class Tokenizer(dict):
         return out
 
 
+_KEPT: dict[str, Tokenizer] = {}
+
+
+def kept(path: str) -> Tokenizer:
+    """The tokenizer of this worker, loaded once and with the pieces of the tasks before."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Tokenizer(path)
+    return _KEPT[path]
+
+
 def _groups(column, size: int = 4 << 20):
     part, n = [], 0
     for x in column:
@@ -130,7 +174,7 @@ def _dtype(vocabulary: int) -> np.dtype:
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for serialized id arrays, from at most ``sample`` documents (empty if they are too few to train on)."""
     def run(batches):
-        tok = Tokenizer(path)
+        tok = kept(path)
         kind = _dtype(tok.size)
         for batch in batches:
             for part in _groups(batch.column(0)):
@@ -160,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end: int = END) -> str:
     id_kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        tok = Tokenizer(tokenizer)
+        tok = kept(tokenizer)
         kind = _dtype(tok.size)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(dictionary), write_content_size=True)
         part = TaskContext.get().partitionId()
