@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlens.llm.common import WordHashes, components, mix64, shingles, signed, texts
-from featlens.session import materialize
+from featlens.session import materialize, owned_tables
 
 BUCKETS = 1 << 20
 _CELLS = 1 << 14  # cells in a row when the table is added up
 _RANGES = 16  # hash ranges of the suffix filter
+_BATCH = 1000  # texts or pairs of sets that a task's Python function has at once: a row can be long
+_SET_BYTES = 4 << 20  # of the sets in one batch made, but for the last one
 
 
 def _sets(hashes: WordHashes, text: bytes | None, n: int) -> np.ndarray:
@@ -120,7 +122,15 @@ def _whole(n: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_sets(hashes, t, n).tobytes() for t in texts(batch)], pa.binary())], ["doc_id", "grams"])
+            held, size, done = [], 0, 0
+            for t in texts(batch):
+                held.append(_sets(hashes, t, n).tobytes())
+                size += len(held[-1])
+                if size > _SET_BYTES:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(held)), pa.array(held, pa.binary())], ["doc_id", "grams"])
+                    held, size, done = [], 0, done + len(held)
+            if held:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done), pa.array(held, pa.binary())], ["doc_id", "grams"])
     return run
 
 
@@ -163,7 +173,7 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     d = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = materialize(d.mapInArrow(_describe(n), f"doc_id {kind}, n bigint, digest binary, block int, counts binary"))
+    described = materialize(d.mapInArrow(_describe(n), f"doc_id {kind}, n bigint, digest binary, block int, counts binary"), _BATCH)
     order = spark.sparkContext.broadcast(_order(described))
     every = described.where("digest is not null").select("doc_id", "n", "digest")
     classes = materialize(every.where("n > 0").groupBy(F.col("digest").alias("c_digest")).agg(F.min("doc_id").alias("rep")))
@@ -178,20 +188,20 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
     # prefixes by n-gram; the n-grams that one document only has are dropped before anything is joined
     entries = d.where("doc_id is not null").mapInArrow(_prefixes(n, percent, order), f"token bigint, doc_id {kind}, pos int, n int")
     groups = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "doc_id")).alias("hub"), F.max("doc_id").alias("last"), F.min("doc_id").alias("one"))
-    groups = materialize(groups.where("one <> last").select(F.col("token").alias("t_"), "hub"))
+    groups = materialize(groups.where("one <> last").select(F.col("token").alias("t_"), "hub"), _BATCH)
     entries = entries.join(groups, entries.token == groups.t_).drop("t_")
     entries = entries.join(copies.select(F.col("doc_id").alias("copy")), F.col("doc_id") == F.col("copy"), "left_anti")
-    entries = materialize(entries.select("token", "doc_id", "pos", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("h_pos"), F.col("hub.n").alias("h_n")))
+    entries = materialize(entries.select("token", "doc_id", "pos", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.pos").alias("h_pos"), F.col("hub.n").alias("h_n")), _BATCH)
 
     ids = entries.select("doc_id").distinct()
     sets = d.join(ids, "doc_id", "left_semi").mapInArrow(_whole(n), f"doc_id {kind}, grams binary")
-    sets = materialize(sets)
+    sets = materialize(sets, _BATCH)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("doc_id").alias("x_"), F.col("grams").alias("x"))
         y = sets.select(F.col("doc_id").alias("y_"), F.col("grams").alias("y"))
         both = pairs.join(x, F.col("a") == F.col("x_")).drop("x_").join(y, F.col("b") == F.col("y_")).select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
+        return materialize(both.mapInArrow(_verify(percent), f"a {kind}, b {kind}"), _BATCH)
 
     def pair(p: str, q: str) -> list[Column]:
         return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
@@ -217,11 +227,12 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
 
 def groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    every, linked = links(docs, n, percent)
-    at = components(linked).select(F.col("node").alias("n_"), "component")
-    out = every.join(at, every.rep == at.n_, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    with owned_tables(docs.sparkSession) as owned:  # of the tables on the way none outlives the result
+        every, linked = links(docs, n, percent)
+        at = components(linked).select(F.col("node").alias("n_"), "component")
+        out = every.join(at, every.rep == at.n_, "left")
+        return owned.keep(out.select("doc_id", F.col("n").alias("n_shingles"),
+                                     F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -229,5 +240,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows with the same doc_id, all stay or none: they are one document, so one text's link lets its other texts go too.
     """
-    drop = groups(docs, n, percent).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(materialize(drop), F.col("doc_id") == F.col("d_"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with owned_tables(docs.sparkSession) as owned:
+        drop = groups(docs, n, percent).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("d_")).distinct()
+        drop = owned.keep(drop)
+    return docs.join(drop, F.col("doc_id") == F.col("d_"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
