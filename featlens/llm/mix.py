@@ -57,20 +57,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, repeats: int = MOS
                       F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def _offsets(d: DataFrame) -> DataFrame:
-    """Adds ``start``: the words of the source's documents before this one, in the order of the shuffle hash.
+#: What rows are dealt out by, and joined by with plain equality: a null-safe join would deal them out anew by keys of its own.
+_DEALT = ["s_key", "s_null", "part"]
+
+
+def _offsets(d: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Adds ``start``: the words of the source's documents before this one, in the order of the shuffle hash, and
+    the columns of ``per_source`` (source ``t_``).
 
     Rows are dealt out by (source, hash prefix), never by source alone; a window runs inside each such
-    group, and the totals of the groups are prefix-summed per source.
+    group, and the totals of the groups are prefix-summed per source and get its columns: the rows meet both in one join.
     """
-    sums = d.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    sums = d.groupBy("source", *_DEALT).agg(F.sum("size").alias("n"))
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s_"), F.col("part").alias("p_"),
-                       F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    inside = W.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    sums = sums.join(per_source, sums.source.eqNullSafe(per_source.t_)).drop("source", "n", "t_")
+    inside = W.partitionBy(*_DEALT).orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return (d.join(sums, d.source.eqNullSafe(sums.s_) & (d.part == sums.p_))
-            .withColumn("start", F.col("base") + F.col("within")).drop("s_", "p_", "base", "within"))
+    return d.join(sums, _DEALT).withColumn("start", F.col("base") + F.col("within")).drop(*_DEALT, "base", "within")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, repeats: int = MOST_REPEATS, carry: bool = False) -> DataFrame:
@@ -83,13 +87,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, repeats: int = MOST_RE
     cols = [F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")]
     d = docs.select(*cols, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    # the one exchange of the rows; the sums, the targets and the windows below all read it
-    d = d.withColumn("part", F.substring("h", 1, DEAL_DIGITS)).repartition("source", "part")
-    t = targets(d.groupBy("source", "part").agg(F.sum("size").alias("size")), weights, slopes, repeats)
+    # the one exchange of the rows; the sums, the targets, the windows and the join with the offsets below all read it
+    source = F.col("source").cast("string")
+    d = d.select("*", F.coalesce(source, F.lit("")).alias("s_key"), source.isNull().alias("s_null"), F.substring("h", 1, DEAL_DIGITS).alias("part")).repartition(*_DEALT)
+    t = targets(d.groupBy("source", *_DEALT).agg(F.sum("size").alias("size")), weights, slopes, repeats)
     t = t.select(F.col("source").alias("t_"), "source_size", "slope", "target",
                  F.least(F.floor(F.col("target") + 0.5), F.lit(repeats) * F.col("source_size")).cast("long").alias("words"))
-    d = _offsets(d)
-    d = d.join(t, d.source.eqNullSafe(t.t_)).drop("t_", "h", "part")
+    d = _offsets(d, t).drop("h")
     passes = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0))
     d = d.withColumn("passes", passes).withColumn("rest", F.expr("words - passes * source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
