@@ -6,7 +6,7 @@ is ``bytes.lower()``, which touches only A-Z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -17,9 +17,12 @@ from featlens.session import materialize
 
 #: A text longer than this is hashed in pieces cut at white space, so that the list of its words stays small.
 PIECE_BYTES = 1 << 20
-#: Entries of a worker's word cache before it is emptied (a cache only: results don't depend on it).
-CACHE_WORDS = 300_000
+#: Bytes of short texts that are hashed at once: arrays that fit into a core's cache.
+TOGETHER_BYTES = 200_000
 _SPACE = b" \t\n\r\x0b\x0c"
+_GAP = np.isin(np.arange(256), list(_SPACE))
+#: What the hash mixes into words of 1-3, 4-8 and 9-16 bytes (its fixed key, taken together; seed 0).
+_FLIP = np.array([0x87275A9B, 0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A], np.uint64)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,24 +46,87 @@ def pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
         at = end
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered within a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The two halves of the 128-bit products, xored."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    xl, xh, yl, yh = x & low, x >> half, y & low, y >> half
+    ll, hl, lh, hh = xl * yl, xh * yl, xl * yh, xh * yh
+    c = (ll >> half) + (hl & low) + lh
+    return ((hl >> half) + (c >> half) + hh) ^ ((c << half) | (ll & low))
+
+
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``text`` begins, and its ``xxh3_64``: words of up to 16 bytes all at once, longer ones by the library."""
+    u = np.uint64
+    raw = b"\0" * 8 + text + b"\0" * 8
+    gap = np.ones(len(text) + 2, bool)
+    np.take(_GAP, np.frombuffer(text, np.uint8), out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    n = end - start
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))  # the eight bytes from each place on
+    first, last, size = eight[start + 8], eight[end], n.astype(np.uint64)
+    out = np.empty(len(n), np.uint64)
+    k = np.flatnonzero(n <= 3)
+    f, s = first[k], size[k]
+    h = (f & u(255)) << u(16) | (f >> (s >> u(1) << u(3)) & u(255)) << u(24) | last[k] >> u(56) | s << u(8)
+    h ^= _FLIP[0]
+    h = (h ^ h >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+    out[k] = h ^ h >> u(32)
+    k = np.flatnonzero((n > 3) & (n <= 8))
+    h = ((first[k] << u(32)) + (last[k] >> u(32))) ^ _FLIP[1]
+    h = (h ^ _rotl(h, 49) ^ _rotl(h, 24)) * u(0x9FB21C651E98DF25)
+    h = (h ^ ((h >> u(35)) + size[k])) * u(0x9FB21C651E98DF25)
+    out[k] = h ^ h >> u(28)
+    k = np.flatnonzero((n > 8) & (n <= 16))
+    x, y = first[k] ^ _FLIP[2], last[k] ^ _FLIP[3]
+    h = size[k] + x.byteswap() + y + _fold(x, y)
+    h = (h ^ h >> u(37)) * u(0x165667919E3779F9)
+    out[k] = h ^ h >> u(32)
+    for i in np.flatnonzero(n > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[start[i]:end[i]])
+    return start, out
+
+
+class WordHashes:
+    """Words as 64-bit hashes, in order, A-Z lower-cased (null: none)."""
 
     def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of the words of ``text``, A-Z lower-cased, in order (null: none)."""
-        if not text:
-            return np.empty(0, np.uint64)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = []
-        for part in pieces(text.lower()):
-            words = part.split()
-            out.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+        return next(self.blocks([text]))[0]
+
+    def blocks(self, many: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, words of each text) of consecutive texts, some ``TOGETHER_BYTES`` at a time."""
+        held, n = [], 0
+        for t in many:
+            if held and n + len(t or b"") > TOGETHER_BYTES:
+                yield self._block(held)
+                held, n = [], 0
+            held.append(t or b"")
+            n += len(held[-1])
+        if held:
+            yield self._block(held)
+
+    def _block(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(held) == 1:
+            parts = [hashed_words(p)[1] for p in pieces(held[0].lower())]
+            out = parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
+            return out, np.array([len(out)])
+        start, out = hashed_words(b" ".join(held).lower())
+        ends = np.cumsum([len(t) + 1 for t in held])
+        return out, np.diff(np.searchsorted(start, ends), prepend=0)
+
+    def shingles(self, many: Iterable[bytes | None], n: int) -> Iterator[np.ndarray]:
+        """``shingles`` of the words of each text."""
+        for words, sizes in self.blocks(many):
+            grams, at = shingles(words, n), 0
+            for k in sizes.tolist():  # those that begin in one text and end in another are left out
+                yield grams[at:at + k - n + 1] if k >= n else shingles(words[at:at + k], n)
+                at += k
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

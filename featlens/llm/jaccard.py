@@ -21,6 +21,8 @@ null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,8 +39,20 @@ _BATCH = 1000  # texts or pairs of sets that a task's Python function has at onc
 _SET_BYTES = 4 << 20  # of the sets in one batch made, but for the last one
 
 
+def _distinct(grams: np.ndarray) -> np.ndarray:
+    s = np.sort(grams)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
 def _sets(hashes: WordHashes, text: bytes | None, n: int) -> np.ndarray:
-    return np.unique(shingles(hashes.of(text), n))
+    return _distinct(shingles(hashes.of(text), n))
+
+
+def _each(hashes: WordHashes, batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    """The set of each text of a batch."""
+    return map(_distinct, hashes.shingles(texts(batch), n))
 
 
 def _describe(n: int):
@@ -49,8 +63,7 @@ def _describe(n: int):
         for batch in batches:
             kind = batch.schema.field(0).type
             sizes, digests = [], []
-            for t in texts(batch):
-                s = _sets(hashes, t, n)
+            for s in _each(hashes, batch, n):
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s) > BUCKETS // 8:
@@ -82,7 +95,7 @@ def _order(described: DataFrame) -> np.ndarray:
     """The table of counts: BUCKETS numbers whatever the input."""
     parts = described.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_up, "block int, counts binary")
     table = np.zeros(BUCKETS, np.int64)
-    for r in parts.collect():
+    for r in materialize(parts).collect():  # the shuffle of the parts goes with the write
         table[r.block * _CELLS:(r.block + 1) * _CELLS] = np.frombuffer(bytes(r.counts), "<i8")
     return np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32)
 
@@ -94,12 +107,12 @@ def _prefixes(n: int, percent: int, order):
         for batch in batches:
             who, token, pos, size, k = [], [], [], [], 0
             ids = batch.column(0)
-            for i, t in enumerate(texts(batch)):
-                s = _sets(hashes, t, n)
+            for i, s in enumerate(_each(hashes, batch, n)):
                 if not len(s):
                     continue
-                rare = table[(s >> np.uint64(44)).astype(np.int64)]
-                first = np.lexsort((s, rare))[:len(s) - -(-percent * len(s) // 100) + 1]
+                # by count and then hash: the set is in the order of its hashes
+                rare = table[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | np.arange(len(s), dtype=np.uint64)
+                first = (np.sort(rare) & np.uint64(0xFFFFFFFF)).astype(np.int64)[:len(s) - -(-percent * len(s) // 100) + 1]
                 who.append(np.full(len(first), i))
                 token.append(s[first])
                 pos.append(np.arange(len(first), dtype=np.int32))
@@ -123,8 +136,8 @@ def _whole(n: int):
         hashes = WordHashes()
         for batch in batches:
             held, size, done = [], 0, 0
-            for t in texts(batch):
-                held.append(_sets(hashes, t, n).tobytes())
+            for s in _each(hashes, batch, n):
+                held.append(s.tobytes())
                 size += len(held[-1])
                 if size > _SET_BYTES:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(held)), pa.array(held, pa.binary())], ["doc_id", "grams"])
@@ -140,12 +153,12 @@ def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
         return False
     # suffix filter: what the counts per range differ by, the sets differ by at least
     most = (100 - percent) * (len(x) + len(y)) // (100 + percent)
-    edges = np.arange(1, _RANGES, dtype=np.uint64) << np.uint64(60)
-    cx, cy = np.diff(np.r_[0, np.searchsorted(x, edges), len(x)]), np.diff(np.r_[0, np.searchsorted(y, edges), len(y)])
+    cx, cy = (np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_RANGES) for s in (x, y))
     if np.abs(cx - cy).sum() > most:
         return False
-    spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    common = int((y[spot] == x).sum())
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 

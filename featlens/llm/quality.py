@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlens.llm.common import WordHashes, labelled_sample, mix64, pieces, sigmoid, text_id, texts
+from featlens.llm.common import hashed_words, labelled_sample, mix64, pieces, sigmoid, text_id, texts
 
 MODULUS, HELD = 3, 1
 BUCKETS = 1 << 17
@@ -34,15 +34,9 @@ _REPEATED = 0  # the bucket of "the same word again"
 class Features:
     """Feature numbers of a text, repeats included."""
 
-    def __init__(self):
-        self.words = WordHashes()
-
     def of(self, text: bytes | None) -> Iterator[np.ndarray]:
         for part in pieces(text or b""):
-            words = part.split()
-            if len(self.words) > 300_000:
-                self.words.clear()
-            h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+            h = hashed_words(part)[1]
             yield self._bucket(h)
             pairs = self._bucket(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
             pairs[h[:-1] == h[1:]] = _REPEATED
