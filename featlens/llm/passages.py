@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlens.llm.common import WordHashes, mix64, shingles, signed, texts
-from featlens.session import materialize
+from featlens.session import materialize, owned_tables
 
 GRAM = 5
 #: Tokens of the shortest passage: 50 words.
@@ -51,6 +51,7 @@ HOT = 4096
 _BITS = 24  # of a hash, that choose its bit in the table
 _BLOCK = 1 << 14  # bits in a row when the tables are put together
 _STARS = 200_000  # windows grouped at a time
+_BATCH = 2000  # texts or windows that a task's Python function has at once
 
 
 def _slide(v: np.ndarray, n: int, best) -> np.ndarray:
@@ -148,7 +149,7 @@ def _table(keys: DataFrame) -> np.ndarray:
     """The bit table of (key, n): two bits for each of 2^_BITS cells, whatever the input."""
     parts = keys.mapInArrow(_bits(HOT), "block int, bits binary").repartition("block").mapInArrow(_put_together, "block int, bits binary")
     table = np.zeros((2, (1 << _BITS) // _BLOCK, _BLOCK // 8), np.uint8)
-    for r in parts.collect():
+    for r in materialize(parts).collect():  # the shuffle of all keys goes with the write
         table[:, r.block] = np.frombuffer(bytes(r.bits), np.uint8).reshape(2, -1)
     return table.reshape(2, -1)
 
@@ -222,9 +223,8 @@ def _windows(least: int, functions: int, table=None, hot: bool = False):
         for batch in batches:
             ids = batch.column(0)
             held, who, n = [], [], 0
-            for i, t in enumerate(texts(batch)):
-                s = shingles(words.of(t), GRAM) if t else None
-                if s is not None and len(s) >= least:
+            for i, s in enumerate(words.shingles(texts(batch), GRAM)):
+                if len(s) >= least:
                     held.append(s)
                     who.append(i)
                     n += len(s)
@@ -412,18 +412,21 @@ def find(docs: DataFrame, least: int = LEAST, functions: int = FUNCTIONS, enough
     """
     d = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # made again rather than written: once to find the hashes that several documents have, once each for the windows of few and of many
-    keys = d.mapInArrow(_windows(least, functions), f"key bigint, doc_id {kind}")
-    keys = keys.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    table = docs.sparkSession.sparkContext.broadcast(_table(keys.where("one <> last").select("key", "n")))
     schema = f"key bigint, doc_id {kind}, k int, l int, c int, r int, near bigint, far bigint"
-    met = d.mapInArrow(_windows(least, functions, table), schema).repartition("key").sortWithinPartitions("key").mapInArrow(
-        _stars, f"partner_id {kind}, doc_id {kind}, k int, shift int, l int, r int, rl int, rr int, c int")
-    met = met.union(_stars_of_hot(materialize(d.mapInArrow(_windows(least, functions, table, hot=True), schema))))
-    met = met.groupBy("partner_id", "doc_id", "k", "shift").agg(
-        F.min("l").alias("l"), F.max("r").alias("r"), F.min("rl").alias("rl"), F.max("rr").alias("rr"), F.collect_set("c").alias("cs"))
-    pairs = materialize(met.groupBy("doc_id", "partner_id").agg(F.collect_list(F.struct("k", "l", "r", "rl", "rr", "shift", "cs")).alias("w"))
-                        .where(F.size(F.array_distinct("w.k")) >= enough))
+    with owned_tables(docs.sparkSession) as owned:  # of the tables on the way only the pairs outlive the block
+        # made again rather than written: once to find the hashes that several documents have, once each for the windows of few and of many
+        keys = d.mapInArrow(_windows(least, functions), f"key bigint, doc_id {kind}")
+        keys = keys.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+        table = docs.sparkSession.sparkContext.broadcast(_table(keys.where("one <> last").select("key", "n")))
+        met = d.mapInArrow(_windows(least, functions, table), schema).repartition("key").sortWithinPartitions("key").mapInArrow(
+            _stars, f"partner_id {kind}, doc_id {kind}, k int, shift int, l int, r int, rl int, rr int, c int")
+        # written one after the other: the windows' shuffle files go before the groups' are made
+        few = materialize(met, _BATCH)
+        many = materialize(_stars_of_hot(materialize(d.mapInArrow(_windows(least, functions, table, hot=True), schema), _BATCH)))
+        met = few.union(many).groupBy("partner_id", "doc_id", "k", "shift").agg(
+            F.min("l").alias("l"), F.max("r").alias("r"), F.min("rl").alias("rl"), F.max("rr").alias("rr"), F.collect_set("c").alias("cs"))
+        pairs = owned.keep(met.groupBy("doc_id", "partner_id").agg(F.collect_list(F.struct("k", "l", "r", "rl", "rr", "shift", "cs")).alias("w"))
+                           .where(F.size(F.array_distinct("w.k")) >= enough))
     x = d.select(F.col("doc_id").alias("x_"), F.col("text").alias("x"))
     y = d.select(F.col("doc_id").alias("y_"), F.col("text").alias("y"))
     both = pairs.join(x, F.col("doc_id") == F.col("x_")).join(y, F.col("partner_id") == F.col("y_"))
