@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
-#: Bytes of text that are encoded together, and words that a worker remembers.
-CHUNK_BYTES, MOST_WORDS = 4 << 20, 1_000_000
+#: Bytes of text that are encoded together, and words that a worker remembers: some 90 MB in all, of two workers or more an executor.
+CHUNK_BYTES, MOST_WORDS = 1 << 19, 300_000
 #: A run of the space sign longer than this is cut into equal blocks first.
 LONG_RUN = 128
 

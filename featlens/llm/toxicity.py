@@ -238,17 +238,19 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep_row: bool = False) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's vocabulary
     extra = ["row"] if keep_row else []
 
+    place = [c.lower() for c in docs.columns].index("text")
+
     def run(batches):
         of = shared.value.scorer()
         for batch in batches:
-            s = [of(t) for t in texts(batch)]
+            s = [of(t) for t in texts(pa.RecordBatch.from_arrays([batch.column("row").field(place)], ["text"]) if keep_row else batch)]
             names = ["doc_id", "held_out", *extra]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names],
                                               pa.array(s, pa.float64())], [*names, "score"])
     cols = [F.col("doc_id"), (text_id() % MODULUS == HELD).alias("held_out")]
-    if keep_row:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    d = docs.select(*cols, "text")
+    # the text once: a batch is 10,000 rows
+    cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_row else F.col("text"))
+    d = docs.select(*cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
     out = d.mapInArrow(run, f"{schema}, score double")
     return out.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
