@@ -17,9 +17,10 @@ windows' intervals are joined where they overlap; where at least ``enough`` hash
 verified on their tokens: at least ``least`` tokens long, and a Jaccard similarity of the token sets of at least
 ``similarity``.
 
-Windows whose hash one document only has are left out by a bit table of fixed size; hashes that share a bit
-make more windows go on, never another result. Groups of up to ``HOT`` windows are made in one task each, larger ones by
-partial minima and a join.
+All windows are dealt out by their hash once, and the groups of a hash are made in one task. Hashes of more than
+about ``HOT`` windows, told from a part of the documents, take another way: windows that are alike in hash and surroundings
+are put together first, and only these kinds meet their groups' partial minima in a join. Which way a hash goes
+changes no result.
 
 Defined cases: null, empty and short texts (under ``least`` + 4 words) have no passages; a passage that is
 repeated within one document only isn't reported; rows with the same doc_id are one document, rows without a doc_id
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,11 @@ FUNCTIONS, ENOUGH, SIMILARITY = 4, 1, 0.8
 #: joined where the whole stays similar enough.
 GAP = 10
 _TOGETHER = 1 << 18
-#: Windows of one hash up to which they are grouped within one task.
+#: Windows of one hash up to which they are grouped within one task; counted on a part of the documents in which a
+#: hash at that limit has some ``_SEEN`` windows.
 HOT = 4096
-_BITS = 24  # of a hash, that choose its bit in the table
-_BLOCK = 1 << 14  # bits in a row when the tables are put together
+_SEEN = 256
+_PARTS = 256  # in which the windows of one kind are put together
 _STARS = 200_000  # windows grouped at a time
 _BATCH = 2000  # texts or windows that a task's Python function has at once
 
@@ -122,42 +125,16 @@ def stretches(tokens: np.ndarray, c: np.ndarray, begin: np.ndarray, stop: np.nda
 _WINDOW = ["k", "l", "c", "r", "near", "far"]
 
 
-def _bits(most: int):
-    """The part of the bit table that a task's hashes make: for each block, the bits of the shared and of the hot ones."""
-    def run(batches):
-        marks = np.zeros((2, 1 << _BITS), bool)
-        for batch in batches:
-            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
-            marks[0, at] = True
-            marks[1, at[batch.column(1).to_numpy() > most]] = True
-        used = np.flatnonzero(marks[0].reshape(-1, _BLOCK).any(axis=1))
-        packed = np.packbits(marks, axis=1).reshape(2, -1, _BLOCK // 8)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[:, b].tobytes() for b in used], pa.binary())], ["block", "bits"])
-    return run
-
-
-def _put_together(batches):
-    """Union of the parts of the table that came to this task."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            total[b] = total.get(b, 0) | np.frombuffer(x.as_buffer(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "bits"])
+def _hot(d: DataFrame, keys) -> np.ndarray:
+    """The hashes of more than about ``HOT`` windows, sorted; there is at most one for every ``HOT`` windows."""
+    one_in = max(1, HOT // _SEEN)
+    part = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0) if one_in > 1 else d
+    counts = part.mapInArrow(keys, "key bigint").groupBy("key").count().where(F.col("count") > HOT // one_in).select("key")
+    return np.sort(np.array([r.key for r in materialize(counts).collect()], np.int64).view(np.uint64))
 
 
-def _table(keys: DataFrame) -> np.ndarray:
-    """The bit table of (key, n): two bits for each of 2^_BITS cells, whatever the input."""
-    parts = keys.mapInArrow(_bits(HOT), "block int, bits binary").repartition("block").mapInArrow(_put_together, "block int, bits binary")
-    table = np.zeros((2, (1 << _BITS) // _BLOCK, _BLOCK // 8), np.uint8)
-    for r in materialize(parts).collect():  # the shuffle of all keys goes with the write
-        table[:, r.block] = np.frombuffer(bytes(r.bits), np.uint8).reshape(2, -1)
-    return table.reshape(2, -1)
-
-
-def _looked_up(table: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether hashes may be shared, and whether they may be hot."""
-    at = (v >> np.uint64(64 - _BITS)).astype(np.int64)
-    return tuple((t[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) for t in table)
+def _is_in(hot: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
 
 
 _SURROUNDINGS = [("near", 16, j) for j in range(4)] + [("far", 21, j) for j in range(3)]
@@ -206,18 +183,24 @@ def _stars(batches):
 
 
 def _stars_of_hot(windows: DataFrame) -> DataFrame:
-    """The same for hashes of any number of windows: minima of the groups, taken in parts, and a join."""
+    """The same for hashes of any number of windows. Windows of one kind (alike in hash and surroundings) have the same
+    groups, so only the kinds meet the minima of the groups; of the windows of a kind, ``_PARTS`` rows at most do."""
+    kind = ["key", "near", "far"]
     values = [F.shiftrightunsigned(name, width * j).bitwiseAND(F.lit((1 << width) - 1)) for name, width, j in _SURROUNDINGS]
-    each = windows.select("key", "doc_id", "k", "l", "c", "r", F.posexplode(F.array(*values)).alias("place", "token")).where("token <> 0")
-    reps = each.groupBy("key", "place", "token").agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("rep"), F.max("doc_id").alias("last"))
-    reps = reps.where("last <> rep.doc_id").drop("last")
-    return each.join(reps, ["key", "place", "token"]).where("doc_id <> rep.doc_id").select(
-        F.col("rep.doc_id").alias("partner_id"), "doc_id", "k", (F.col("c") - F.col("rep.c")).alias("shift"), "l", "r",
-        F.col("rep.l").alias("rl"), F.col("rep.r").alias("rr"), "c")
-
-
-def _windows(least: int, functions: int, table=None, hot: bool = False):
-    """key, doc_id of all windows; with a bit table all columns of those that are in it, either the hot ones or the others."""
+    parts = materialize(windows.groupBy(*kind, F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)).alias("part")).agg(
+        F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last"), F.collect_list(F.struct("doc_id", "k", "l", "c", "r")).alias("members")))
+    kinds = parts.groupBy(*kind).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    each = kinds.select(*kind, "first", "last", F.posexplode(F.array(*values)).alias("place", "token")).where("token <> 0")
+    reps = each.groupBy("key", "place", "token").agg(F.min("first").alias("rep"), F.max("last").alias("latest")).where("latest <> rep.doc_id").drop("latest")
+    stars = each.join(reps, ["key", "place", "token"]).groupBy(*kind).agg(F.collect_set("rep").alias("reps"))
+    tied = parts.join(stars, kind).select("reps", F.explode("members").alias("w")).select("w", F.explode("reps").alias("rep"))
+    return tied.where("w.doc_id <> rep.doc_id").select(
+        F.col("rep.doc_id").alias("partner_id"), "w.doc_id", "w.k", (F.col("w.c") - F.col("rep.c")).alias("shift"), "w.l", "w.r",
+        F.col("rep.l").alias("rl"), F.col("rep.r").alias("rr"), "w.c")
+
+
+def _windows(least: int, functions: int, hashes=None, hot: bool = False):
+    """key of all windows; with the (broadcast) hot hashes all columns, either of the windows that have one or of the others."""
     def run(batches):
         words = WordHashes()
         for batch in batches:
@@ -246,11 +229,10 @@ def _windows(least: int, functions: int, table=None, hot: bool = False):
         for k in range(functions):
             v = np.where(body, hashed(flat, k), np.uint64(0))
             lo, c, hi = compact_windows(v, least)
-            if table is None:
-                cols.append((signed(v[c]), np.array(who)[np.searchsorted(stop, c)]))
+            if hashes is None:
+                cols.append((signed(v[c]),))
                 continue
-            shared, many = _looked_up(table.value, v[c])
-            wanted = shared & (many == hot)
+            wanted = _is_in(hashes.value, v[c]) == hot
             lo, c, hi = lo[wanted], c[wanted], hi[wanted]
             doc = np.searchsorted(stop, c)
             b = begin[doc]
@@ -261,8 +243,10 @@ def _windows(least: int, functions: int, table=None, hot: bool = False):
                 near |= np.where(inside, (flat[at] >> np.uint64(48)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * j)
             far = stretches(flat, c, b, stop[doc], least)
             cols.append((signed(v[c]), np.array(who)[doc], np.full(len(c), k, np.int32), *((x - b).astype(np.int32) for x in (lo, c, hi)), signed(near), signed(far)))
+        if hashes is None:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, in cols]))], ["key"])
         key, doc, *rest = (np.concatenate(x) for x in zip(*cols))
-        return pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(doc)), *map(pa.array, rest)], ["key", "doc_id", *_WINDOW[:len(rest)]])
+        return pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(doc)), *map(pa.array, rest)], ["key", "doc_id", *_WINDOW])
     return run
 
 
@@ -374,6 +358,16 @@ def verified(x: np.ndarray, y: np.ndarray, centres: list[tuple[int, int]], least
     return out
 
 
+def _unfolded(w: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (k, l, r, rl, rr, c, shift) of a batch of pairs below each other, and where each pair's begin and end."""
+    groups = w.flatten()
+    get = dict(zip((f.name for f in groups.type), groups.flatten()))
+    many = pc.list_value_length(get["cs"]).to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(pc.list_value_length(w).to_numpy(zero_copy_only=False))]]
+    k, l, r, rl, rr, shift = (np.repeat(get[c].to_numpy(zero_copy_only=False), many) for c in ("k", "l", "r", "rl", "rr", "shift"))
+    return np.column_stack([k, l, r, rl, rr, get["cs"].flatten().to_numpy(zero_copy_only=False), shift]).astype(np.int64), ends
+
+
 _FOUND = "start int, `end` int, partner_start int, partner_end int, hashes int, similarity double"
 
 
@@ -388,9 +382,10 @@ def _check(least: int, enough: int, similarity: float):
         for batch in batches:
             rows, keep = [], []
             xs, ys = texts(batch, "x"), texts(batch, "y")
-            for i, (w, xt, yt) in enumerate(zip(batch.column(batch.schema.get_field_index("w")), xs, ys)):
+            windows, ends = _unfolded(batch.column(batch.schema.get_field_index("w")))
+            for i, (xt, yt) in enumerate(zip(xs, ys)):
                 x, y = tokens("x", xt), tokens("y", yt)
-                t = np.array([(d["k"], d["l"], d["r"], d["rl"], d["rr"], c, d["shift"]) for d in w.as_py() for c in d["cs"]], np.int64)
+                t = windows[ends[i]:ends[i + 1]]
                 for a, b, part in regions(t[:, 0], t[:, 1], t[:, 2], enough):
                     u, v = int(t[part, 3].min()), int(t[part, 4].max())
                     centres = sorted({(c - a, c - shift - u) for c, shift in t[part, 5:].tolist()})
@@ -414,16 +409,15 @@ def find(docs: DataFrame, least: int = LEAST, functions: int = FUNCTIONS, enough
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key bigint, doc_id {kind}, k int, l int, c int, r int, near bigint, far bigint"
     with owned_tables(docs.sparkSession) as owned:  # of the tables on the way only the pairs outlive the block
-        # made again rather than written: once to find the hashes that several documents have, once each for the windows of few and of many
-        keys = d.mapInArrow(_windows(least, functions), f"key bigint, doc_id {kind}")
-        keys = keys.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-        table = docs.sparkSession.sparkContext.broadcast(_table(keys.where("one <> last").select("key", "n")))
-        met = d.mapInArrow(_windows(least, functions, table), schema).repartition("key").sortWithinPartitions("key").mapInArrow(
+        hot = docs.sparkSession.sparkContext.broadcast(_hot(d, _windows(least, functions)))
+        # made again rather than written: once for the windows of few and once for those of many
+        met = d.mapInArrow(_windows(least, functions, hot), schema).repartition("key").sortWithinPartitions("key").mapInArrow(
             _stars, f"partner_id {kind}, doc_id {kind}, k int, shift int, l int, r int, rl int, rr int, c int")
         # written one after the other: the windows' shuffle files go before the groups' are made
         few = materialize(met, _BATCH)
-        many = materialize(_stars_of_hot(materialize(d.mapInArrow(_windows(least, functions, table, hot=True), schema), _BATCH)))
-        met = few.union(many).groupBy("partner_id", "doc_id", "k", "shift").agg(
+        many = materialize(_stars_of_hot(materialize(d.mapInArrow(_windows(least, functions, hot, hot=True), schema), _BATCH)))
+        # dealt out by the pair once, which serves both groupings
+        met = few.union(many).repartition("doc_id", "partner_id").groupBy("partner_id", "doc_id", "k", "shift").agg(
             F.min("l").alias("l"), F.max("r").alias("r"), F.min("rl").alias("rl"), F.max("rr").alias("rr"), F.collect_set("c").alias("cs"))
         pairs = owned.keep(met.groupBy("doc_id", "partner_id").agg(F.collect_list(F.struct("k", "l", "r", "rl", "rr", "shift", "cs")).alias("w"))
                            .where(F.size(F.array_distinct("w.k")) >= enough))
