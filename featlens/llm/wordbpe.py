@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ from featlens.llm.piecewise import chunks
 BLANKS = re.compile(r"[^ \t\n\r]+")
 #: Characters of stretches that a worker remembers before it forgets them all (a cache: results don't depend on it).
 MOST_CHARACTERS = 8_000_000
+#: Pairs of tokens remembered before a new call of ``words`` forgets them.
+MOST_PAIRS = 1 << 18
+#: Stretches that go through the file's rules at once.
+TOGETHER = 1000
 _NEVER = 1 << 60
 
 
@@ -99,7 +104,8 @@ class Vocabulary:
             else:
                 self.inner[a + b] = i
         self.longest = max((w for w in self.width if w), default=1)
-        self.tolerates = lru_cache(1 << 18)(self._tolerates)
+        #: pairs of tokens and whether the first tolerates the second, as far as asked
+        self.seen: dict[tuple[int, int], bool] = {}
 
     def _tolerates(self, a: int, b: int) -> bool:
         """Whether the texts of ``a`` and ``b`` side by side are encoded as these two tokens.
@@ -120,8 +126,12 @@ class Vocabulary:
     def words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct words, given in the characters of the vocabulary."""
         out = {}
-        inner, final, tolerates, width, longest = self.inner.get, self.final.get, self.tolerates, self.width, self.longest
+        inner, final, width, longest = self.inner.get, self.final.get, self.width, self.longest
+        if len(self.seen) > MOST_PAIRS:
+            self.seen.clear()
+        seen, known = self.seen, self.seen.get
         path: list[int] = []        # the last token of every prefix of the word before, from one character on
+        add = path.append
         before = ""
         for word in sorted(words):
             n = len(word)
@@ -130,15 +140,27 @@ class Vocabulary:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del path[shared:]
+            entry = inner
             for end in range(shared + 1, n + 1):
-                entry = inner if end < n else final
-                for start in range(end - 1, max(0, end - longest) - 1, -1):
+                if end == n:
+                    entry = final
+                start = end - 1
+                least = end - longest if end > longest else 0
+                while True:
                     token = entry(word[start:end])
-                    if token is not None and (start == 0 or tolerates(path[start - 1], token)):
-                        break
-                else:
-                    raise ValueError(f"no token ends at character {end} of {word[:80]!r}")
-                path.append(token)
+                    if token is not None:
+                        if not start:
+                            break
+                        pair = path[start - 1], token
+                        good = known(pair)
+                        if good is None:
+                            good = seen[pair] = self._tolerates(*pair)
+                        if good:
+                            break
+                    start -= 1
+                    if start < least:
+                        raise ValueError(f"no token ends at character {end} of {word[:80]!r}")
+                add(token)
             ids, at = [], n
             while at:
                 token = path[at - 1]
@@ -154,6 +176,32 @@ class Vocabulary:
         text = self.normalizer.normalize_str(stretch) if self.normalizer else stretch
         return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
+    def cuts(self, stretches: list[str]) -> list[list[str]]:
+        """``cut`` of each: printable ones, which hold no white space, go through the rules with a blank between them."""
+        plain = [k for k, s in enumerate(stretches) if s.isprintable()]
+        out: list[list[str] | None] = [None] * len(stretches)
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i:i + TOGETHER]
+            for k, words in zip(some, self._together([stretches[k] for k in some]) or ()):
+                out[k] = words
+        return [self.cut(s) if words is None else words for s, words in zip(stretches, out)]
+
+    def _together(self, stretches: list[str]) -> list[list[str]] | None:
+        """The words of each, or nothing if the rules change blanks or put one into a word."""
+        text = " ".join(stretches)
+        text = self.normalizer.normalize_str(text) if self.normalizer else text
+        if text.count(" ") != len(stretches) - 1:
+            return None
+        found = self.pre_tokenizer.pre_tokenize_str(text)
+        ends = np.cumsum([len(s) + 1 for s in text.split(" ")])  # behind the blank after each
+        at = np.array([x for _, x in found], np.int64).reshape(-1, 2)
+        of = np.searchsorted(ends, at[:, 0], side="right")
+        if len(at) and (at[:, 1] >= ends[of]).any():
+            return None
+        words = [w for w, _ in found]
+        edges = np.searchsorted(of, np.arange(len(stretches) + 1)).tolist()
+        return [words[a:b] for a, b in zip(edges, edges[1:])]
+
 
 class Encoder(dict):
     """Encodes texts; remembers stretches (as numbers) and words within a task (results don't depend on that)."""
@@ -188,14 +236,15 @@ class Encoder(dict):
 
     def _learn(self) -> None:
         added = self.v.added
-        cuts = [() if s in added else self.v.cut(s) for s in self.new]
-        words = {w for c in cuts for w in c} - self.words.keys()
+        cuts = self.v.cuts(self.new)
+        words = {w for s, c in zip(self.new, cuts) if s not in added for w in c} - self.words.keys()
         self.words |= self.v.words(list(words))
-        ids = [(added[s],) if s in added else tuple(i for w in c for i in self.words[w]) for s, c in zip(self.new, cuts)]
+        of = self.words.__getitem__
+        ids = [(added[s],) if s in added else of(c[0]) if len(c) == 1 else tuple(chain.from_iterable(map(of, c))) for s, c in zip(self.new, cuts)]
         self.size += sum(map(len, self.new)) + sum(map(len, words))
         self.new = []
         self.counts = np.r_[self.counts, np.fromiter(map(len, ids), np.int64, len(ids))]
-        self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.int32)]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.int32)]
         self.starts = np.cumsum(self.counts) - self.counts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
