@@ -75,11 +75,14 @@ def unpack(batch, k: int, dim: int, ids: str, matrix: str) -> tuple[np.ndarray,
 
 
 def against(queries: DataFrame, candidates: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """Every block of queries (columns with ``q_`` in front) beside every block of candidates of its dimension."""
+    """Every block of queries (columns with ``q_`` in front) beside every block of candidates of its dimension.
+
+    A merge join: the size that Catalyst estimates for the queries leaves out their ``groups`` copies, so a table
+    of queries just below the broadcast threshold would go through the driver ``groups`` times as large."""
     c = candidates.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q_group"),
                        *[F.col(x).alias(f"q_{x}") for x in queries.columns])
-    return c.join(q, (c.group == q.q_group) & (c.dim == q.q_dim)).drop("group", "q_group", "q_dim", "q_block", "block")
+    return c.join(q.hint("merge"), (c.group == q.q_group) & (c.dim == q.q_dim)).drop("group", "q_group", "q_dim", "q_block", "block")
 
 
 def local_best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
